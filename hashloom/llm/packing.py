@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, texts_of
-from .pieces import PieceEncoder
+from .pieces import worker_encoder
 
 #: Nodes of one enumeration of fillings, completions kept of each, and nodes of the whole search.
 FILLING_NODES, FILLINGS, SEARCH_NODES = 400, 3, 20_000
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def tasks(batches):
         from pyspark import TaskContext
 
-        bucket, encoder, seen = TaskContext.get().partitionId(), PieceEncoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        bucket, encoder, seen = TaskContext.get().partitionId(), worker_encoder(tokenizer), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
             for doc, data in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):

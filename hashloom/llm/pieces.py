@@ -22,10 +22,50 @@ PATTERNS = {
 }
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in prints)
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_ENCODERS: dict = {}
+
+
+def worker_encoder(path: str, kind=None):
+    """The worker process's encoder for a file: what it has learnt of one task's words serves the next task."""
+    kind = kind or PieceEncoder
+    if (kind, path) not in _ENCODERS:
+        _ENCODERS[kind, path] = kind(path)
+    return _ENCODERS[kind, path]
+
+
+class Recent(dict):
+    """A dict of `entries` at most: when full it sets its entries aside, and drops those not asked for by the next time."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries, self.aside = entries, {}
+
+    def missing(self, keys) -> list:
+        """The keys that are not known; afterwards those set aside are at hand again."""
+        new = []
+        if len(self) >= self.entries:
+            self.aside = dict(self)
+            self.clear()
+        for k in keys:
+            if k not in self:
+                if (old := self.aside.get(k)) is None:
+                    new.append(k)
+                else:
+                    self[k] = old
+        return new
+
+
 class PieceEncoder:
     """Encodes lists of texts to ids packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, entries: int = 300_000, chunk_bytes: int = 4 << 20):
+    def __init__(self, path: str, entries: int = 400_000, chunk_bytes: int = 4 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,19 +73,20 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         name = os.path.basename(path)
         self.pattern, self.lower = PATTERNS.get(name), name.startswith("word")
-        self.entries, self.chunk_bytes, self.known = entries, chunk_bytes, {}
+        self.chunk_bytes, self.known, self.model, self.alphabet = chunk_bytes, Recent(entries), self.tokenizer.model, byte_alphabet()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """A pre-token's ids from the library's merges alone: it is split and folded already."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
     def _chunk(self, texts: list[str]) -> list[bytes]:
         usual = [self.pattern is not None and not ODD.search(t) for t in texts]
         split = [self.pattern.findall(t.lower() if self.lower else t) if ok else () for t, ok in zip(texts, usual, strict=True)]
-        words = set().union(*split)
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.entries:
-            self.known, new = {}, list(words)
-        self.known.update(zip(new, self._whole(new), strict=True))
+        new = self.known.missing(set().union(*split))
+        self.known.update(zip(new, map(self._word, new), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) if ok else self._whole([t])[0] for t, s, ok in zip(texts, split, usual, strict=True)]
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
+from .pieces import Recent, worker_encoder
 
 MARK = "▁"
 
@@ -114,7 +115,7 @@ class MarkedEncoder:
         used = set("".join(self.ids))
         apart = "".join(re.escape(c) for c in "\n\t" if c not in used)
         self.words = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + (f"|[{apart}]" if apart else ""))
-        self.entries, self.chunk_chars, self.known = entries, chunk_chars, {}
+        self.chunk_chars, self.known = chunk_chars, Recent(entries)
 
     def _pack(self, pieces: list[str]) -> bytes:
         ids = []
@@ -128,10 +129,7 @@ class MarkedEncoder:
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         split = [self.words.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
-        words = set().union(*split)
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.entries:
-            self.known, new = {}, list(words)
+        new = self.known.missing(set().union(*split))
         # marks of equal score merge from the left, which a prefix alone cannot tell: few distinct words begin with two
         double = [w for w in new if w.startswith(MARK * 2)]
         single = sorted(w for w in new if not w.startswith(MARK * 2))
@@ -164,7 +162,7 @@ def encode(docs: DataFrame, model_file: str, with_ids: bool = True) -> DataFrame
     """
 
     def tasks(batches):
-        encoder = MarkedEncoder(model_file)
+        encoder = worker_encoder(model_file, MarkedEncoder)
         for b in batches:
             texts, rows = b.column(1).to_pylist(), []
             for text, data in zip(texts, encoder.encode(texts), strict=True):
@@ -183,7 +181,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, ids) -> doc_id, text. Null ids: null."""
 
     def tasks(batches):
-        encoder = MarkedEncoder(model_file)
+        encoder = worker_encoder(model_file, MarkedEncoder)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else encoder.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, open_fs, shared_dir, texts_of
-from .pieces import PieceEncoder
+from .pieces import worker_encoder
 
 MAGIC = b"RVB1"
 #: Values of a block at most, unless one document alone has more.
@@ -79,7 +79,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def tasks(batches):
-        encoder = PieceEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for b in batches:
             wide, out = [], []
             for data in encoder.encode(b.column(1).to_pylist()):
