@@ -1,9 +1,11 @@
 """The queries of the library's own operators, with their SQL."""
 
+from . import texts, vectors
+
 
 def queries() -> dict:
-    return {}
+    return vectors.QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return vectors.SQL | texts.SQL
