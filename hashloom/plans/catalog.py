@@ -1,11 +1,11 @@
 """The queries of the library's own operators, with their SQL."""
 
-from . import texts, vectors
+from . import codes, texts, vectors
 
 
 def queries() -> dict:
-    return vectors.QUERIES | texts.QUERIES
+    return vectors.QUERIES | texts.QUERIES | codes.QUERIES
 
 
 def oracle_sql() -> dict:
-    return vectors.SQL | texts.SQL
+    return vectors.SQL | texts.SQL | codes.SQL

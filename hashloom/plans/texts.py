@@ -187,53 +187,53 @@ def extension_detect(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(p.startswith("{") | p.startswith("["), "JSON").otherwise("UNKNOWN").alias("kind"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
 
 
-def _fixed_sql(size: int, where: str = "true") -> str:
+def fixed_sql(size: int, where: str = "true") -> str:
     return f"c AS (SELECT doc_id, k AS chunk_no, substr(hex(encode(text)), ({2 * size} * k + 1)::INT, {2 * size}) AS hex FROM documents, LATERAL unnest(range((strlen(text) + {size - 1}) // {size})) t(k) WHERE {where})"
 
 
-@query(f"WITH {_fixed_sql(128)} SELECT doc_id, chunk_no, chunk_no * 128 AS off, length(hex) // 2 AS size, md5(hex) AS chunk_md5 FROM c")
+@query(f"WITH {fixed_sql(128)} SELECT doc_id, chunk_no, chunk_no * 128 AS off, length(hex) // 2 AS size, md5(hex) AS chunk_md5 FROM c")
 def fixed_chunks(spark, sf_dir):
     c = chunks.fixed(documents(spark, sf_dir), "doc_id", "text", 128)
     return c.select("doc_id", "chunk_no", "off", F.length("data").cast("long").alias("size"), F.md5(F.hex("data")).alias("chunk_md5"))
 
 
-def _counts(spark, sf_dir, where="true"):
+def chunk_counts(spark, sf_dir, where="true"):
     return chunks.frequency(chunks.fixed(documents(spark, sf_dir).filter(where), "doc_id", "text", 128).filter(F.length("data") == 128))
 
 
-_COUNTS = f"{_fixed_sql(128)}, n AS (SELECT hex, count(*) AS n FROM c WHERE length(hex) = 256 GROUP BY hex)"
+COUNTS = f"{fixed_sql(128)}, n AS (SELECT hex, count(*) AS n FROM c WHERE length(hex) = 256 GROUP BY hex)"
 
 
-@query(f"WITH {_COUNTS} SELECT md5(hex) AS chunk_md5, n FROM n")
+@query(f"WITH {COUNTS} SELECT md5(hex) AS chunk_md5, n FROM n")
 def chunk_frequency(spark, sf_dir):
-    return _counts(spark, sf_dir).select(F.md5(F.hex("data")).alias("chunk_md5"), "n")
+    return chunk_counts(spark, sf_dir).select(F.md5(F.hex("data")).alias("chunk_md5"), "n")
 
 
 _BUCKET = "(('0x' || substr(hex, 1, 2))::INT + 256 * ('0x' || substr(hex, 3, 2))::INT)::BIGINT"
-_ELITE = f"b AS (SELECT *, {_BUCKET} AS bucket FROM n), cut AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY n DESC, hex) <= 8), top AS (SELECT * FROM cut ORDER BY n DESC, hex LIMIT 4096), elite AS (SELECT row_number() OVER (ORDER BY bucket, n DESC, hex) - 1 AS id, bucket, n, hex FROM top)"
+ELITE = f"b AS (SELECT *, {_BUCKET} AS bucket FROM n), cut AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY n DESC, hex) <= 8), top AS (SELECT * FROM cut ORDER BY n DESC, hex LIMIT 4096), elite AS (SELECT row_number() OVER (ORDER BY bucket, n DESC, hex) - 1 AS id, bucket, n, hex FROM top)"
 
 
-@query(f"WITH {_COUNTS}, {_ELITE} SELECT id, bucket, n, md5(hex) AS chunk_md5 FROM elite")
+@query(f"WITH {COUNTS}, {ELITE} SELECT id, bucket, n, md5(hex) AS chunk_md5 FROM elite")
 def codebook_elite(spark, sf_dir):
-    return chunks.elite(_counts(spark, sf_dir), 8, 4096).select("id", "bucket", "n", F.md5(F.hex("data")).alias("chunk_md5"))
+    return chunks.elite(chunk_counts(spark, sf_dir), 8, 4096).select("id", "bucket", "n", F.md5(F.hex("data")).alias("chunk_md5"))
 
 
-@query(f"""WITH {_COUNTS}, v AS (SELECT substr(hex, 3) || '00' AS hex, greatest(n // 2, 1) AS n FROM n WHERE n > 1 UNION ALL SELECT '00' || substr(hex, 1, length(hex) - 2), greatest(n // 2, 1) FROM n WHERE n > 1
+@query(f"""WITH {COUNTS}, v AS (SELECT substr(hex, 3) || '00' AS hex, greatest(n // 2, 1) AS n FROM n WHERE n > 1 UNION ALL SELECT '00' || substr(hex, 1, length(hex) - 2), greatest(n // 2, 1) FROM n WHERE n > 1
 UNION ALL SELECT substr(hex, 3) || substr(hex, 1, 2), greatest(n // 2, 1) FROM n WHERE n > 1 UNION ALL SELECT hex, n FROM n) SELECT md5(hex) AS chunk_md5, sum(n)::BIGINT AS n FROM v GROUP BY hex""")
 def codebook_augment(spark, sf_dir):
-    return chunks.augmented(_counts(spark, sf_dir)).select(F.md5(F.hex("data")).alias("chunk_md5"), "n")
+    return chunks.augmented(chunk_counts(spark, sf_dir)).select(F.md5(F.hex("data")).alias("chunk_md5"), "n")
 
 
-@query(f"""WITH {_fixed_sql(128)}, e AS (SELECT hex, count(*) + 100 AS n FROM c WHERE length(hex) = 256 AND doc_id % 2 = 0 GROUP BY hex), o AS (SELECT hex, count(*) AS n FROM c WHERE length(hex) = 256 AND doc_id % 2 = 1 GROUP BY hex)
+@query(f"""WITH {fixed_sql(128)}, e AS (SELECT hex, count(*) + 100 AS n FROM c WHERE length(hex) = 256 AND doc_id % 2 = 0 GROUP BY hex), o AS (SELECT hex, count(*) AS n FROM c WHERE length(hex) = 256 AND doc_id % 2 = 1 GROUP BY hex)
 SELECT md5(hex) AS chunk_md5, sum(n)::BIGINT AS n, max(base) AS old FROM (SELECT hex, n, true AS base FROM e UNION ALL SELECT hex, n, false FROM o) GROUP BY hex""")
 def codebook_merge(spark, sf_dir):
     """Incremental training: patterns of the first codebook (even documents) are seeded with 100 more."""
-    base = _counts(spark, sf_dir, "doc_id % 2 = 0").select("data", (F.col("n") + 100).alias("n"), F.lit(True).alias("base"))
-    new = _counts(spark, sf_dir, "doc_id % 2 = 1").select("data", "n", F.lit(False).alias("base"))
+    base = chunk_counts(spark, sf_dir, "doc_id % 2 = 0").select("data", (F.col("n") + 100).alias("n"), F.lit(True).alias("base"))
+    new = chunk_counts(spark, sf_dir, "doc_id % 2 = 1").select("data", "n", F.lit(False).alias("base"))
     return base.unionByName(new).groupBy("data").agg(F.sum("n").alias("n"), F.max("base").alias("old")).select(F.md5(F.hex("data")).alias("chunk_md5"), "n", "old")
 
 
-_TRAIN = f"{_fixed_sql(128)}, book AS (SELECT DISTINCT hex FROM c WHERE doc_id % 2 = 0 AND length(hex) = 256)"
+_TRAIN = f"{fixed_sql(128)}, book AS (SELECT DISTINCT hex FROM c WHERE doc_id % 2 = 0 AND length(hex) = 256)"
 
 
 @query(f"WITH {_TRAIN} SELECT doc_id, count(*) AS n_chunks, count(book.hex) AS hits, (24 * count(*) + coalesce(sum(CASE WHEN book.hex IS NULL THEN length(c.hex) // 2 END), 0))::BIGINT AS packed_bytes FROM c LEFT JOIN book USING (hex) WHERE doc_id % 2 = 1 GROUP BY doc_id")
@@ -277,7 +277,7 @@ def merkle_root(spark, sf_dir):
     return chunks.merkle_root(_leaves(spark, sf_dir), "doc_id")
 
 
-_CHANGED = _fixed_sql(512)
+_CHANGED = fixed_sql(512)
 
 
 @query(f"WITH {_CHANGED} SELECT doc_id, chunk_no AS idx FROM c WHERE chunk_no % 3 = doc_id % 3 AND hex <> upper(hex(encode(repeat('x', (length(hex) // 2)::INT))))")
@@ -289,14 +289,14 @@ def merkle_leaves_diff(spark, sf_dir):
     return a.join(b, ["doc_id", "chunk_no"]).filter("a <> b").select("doc_id", F.col("chunk_no").alias("idx"))
 
 
-@query(f"WITH {_fixed_sql(512)}, have AS (SELECT DISTINCT hex FROM c WHERE doc_id % 2 = 0) SELECT doc_id, chunk_no, length(hex) // 2 AS size FROM c WHERE doc_id % 2 = 1 AND hex NOT IN (SELECT hex FROM have)")
+@query(f"WITH {fixed_sql(512)}, have AS (SELECT DISTINCT hex FROM c WHERE doc_id % 2 = 0) SELECT doc_id, chunk_no, length(hex) // 2 AS size FROM c WHERE doc_id % 2 = 1 AND hex NOT IN (SELECT hex FROM have)")
 def manifest_diff(spark, sf_dir):
     """Chunks of the odd documents that a peer with the even ones lacks, with their places."""
     c = chunks.fixed(documents(spark, sf_dir), "doc_id", "text", 512).withColumn("digest", F.sha2("data", 256))
     return c.filter("doc_id % 2 = 1").join(c.filter("doc_id % 2 = 0").select("digest"), "digest", "left_anti").select("doc_id", "chunk_no", F.length("data").cast("long").alias("size"))
 
 
-@query(f"WITH {_fixed_sql(64)}, x AS (SELECT a.doc_id, a.chunk_no, a.hex AS a, b.hex AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.chunk_no = a.chunk_no + 1) SELECT doc_id, chunk_no, md5(a) AS pattern_md5, true AS same FROM x")
+@query(f"WITH {fixed_sql(64)}, x AS (SELECT a.doc_id, a.chunk_no, a.hex AS a, b.hex AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.chunk_no = a.chunk_no + 1) SELECT doc_id, chunk_no, md5(a) AS pattern_md5, true AS same FROM x")
 def xor_delta_roundtrip(spark, sf_dir):
     """Each chunk as the XOR with the next one, and back."""
     c = chunks.fixed(documents(spark, sf_dir), "doc_id", "text", 64)
