@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hashloom.functions import bits
-from hashloom.operators import chunks, codebook, edits, projection
+from hashloom.operators import chunks, codebook, edits, projection, search
 
 from .texts import COUNTS, ELITE, chunk_counts, documents, fixed_sql, format_detect, table
 
@@ -63,10 +63,10 @@ def codebook_route(spark, sf_dir):
     return codebook.route(rows, books).select("page_id", "book")
 
 
-@query(f"WITH {fixed_sql(64)} SELECT a.doc_id, a.chunk_no, md5(a.hex) AS chunk_md5, true AS same FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.chunk_no = a.chunk_no + 1 WHERE a.doc_id % 100 = 0")
+@query(f"WITH {fixed_sql(64)} SELECT a.doc_id, a.chunk_no, md5(a.hex) AS chunk_md5, true AS same FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.chunk_no = a.chunk_no + 1")
 def edit_delta_roundtrip(spark, sf_dir):
-    """Chunks of every hundredth document as edit scripts against the next chunk, and back."""
-    c = chunks.fixed(documents(spark, sf_dir).filter("doc_id % 100 = 0"), "doc_id", "text", 64)
+    """Each chunk as an edit script against the next one, and back."""
+    c = chunks.fixed(documents(spark, sf_dir), "doc_id", "text", 64)
     after = c.select("doc_id", (F.col("chunk_no") - 1).alias("chunk_no"), F.col("data").alias("pattern"))
     back = edits.patch(F.col("pattern"), edits.diff(F.col("pattern"), F.col("data")))
     rows = c.join(after, _KEYS).select(*_KEYS, "data", back.alias("back"))
@@ -103,16 +103,16 @@ def pca_hash(spark, sf_dir):
     return rows.select("vec_id", h.alias("hash")).withColumn("bucket", bits.prefix(F.col("hash"), 8).cast("long"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query, r.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0 AND r.vec_id % 100 = 0),
+@query("""WITH s AS (SELECT q.vec_id AS query, r.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0),
 m AS (SELECT query, max(s) AS m FROM s GROUP BY query), z AS (SELECT query, sum(exp(s - m)) AS z FROM s JOIN m USING (query) GROUP BY query)
 SELECT query, round(max(exp(s - m) / z), 5) AS top, round(-ln(greatest(max(CASE WHEN id = query THEN exp(s - m) / z END), 1e-10)), 5) AS loss FROM s JOIN m USING (query) JOIN z USING (query) GROUP BY query""")
 def softmax_loss(spark, sf_dir):
-    """Softmax of the stated queries' products with each other, shifted by the largest, and the cross-entropy of each with itself."""
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
-    q = rows.select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("a"))
+    """Softmax of the stated queries' products with all rows, shifted by the largest, and the cross-entropy of each with itself."""
+    rows = table(spark, sf_dir, "embeddings")
+    q = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("a"))
     other = rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("b"))
     product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = q.crossJoin(other).select("query", "id", product.alias("s"))
+    s = search.against_all(q, other).select("query", "id", product.alias("s"))
     m = s.groupBy("query").agg(F.max("s").alias("m"))
     e = s.join(m, "query").withColumn("e", F.exp(F.col("s") - F.col("m")))
     own = F.max(F.when(F.col("id") == F.col("query"), F.col("e")))
