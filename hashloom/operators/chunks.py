@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Kinds of content that have no lines.
+BINARY = ("UNKNOWN", "ELF", "ZIP", "PNG")
+
 
 def fixed(docs: DataFrame, key: str, text: str, size: int = 128) -> DataFrame:
     """(key, chunk_no, off, data): slices of the UTF-8 bytes, the last may be short; an empty text has none."""
@@ -22,6 +25,35 @@ def delimited(docs: DataFrame, key: str, text: str, most: int = 1024) -> DataFra
     return lines.select(key, "line", "_d", F.explode(n).alias("part")).select(key, F.col("line").cast("long").alias("line"), F.col("part").cast("long").alias("part"), F.substring(F.col("_d"), F.col("part") * most + 1, F.lit(most)).alias("data"))
 
 
+def contextual(docs: DataFrame, key: str, text: str, kind: str, most: int = 1024, least: int = 32) -> DataFrame:
+    """(key, chunk_no, data): chunks of `least` bytes, on to the next } or , of JSON or line feed of other text, `most` bytes in all; binary kinds are cut at `most`.
+
+    The bytes are read as Latin-1, so that one pattern cuts a text in one pass.
+    """
+    cut = lambda ends: f"(?s).{{{least}}}[^{ends}]{{0,{most - least - 1}}}[{ends}]|.{{1,{most}}}"
+    raw = F.decode(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), "ISO-8859-1")
+    every = lambda pattern: F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))
+    parts = F.when(F.col("_k") == "JSON", every(cut("},"))).when(F.col("_k").isin(*BINARY), every(f"(?s).{{1,{most}}}")).otherwise(every(cut("\\n")))
+    rows = docs.select(key, F.coalesce(F.col(kind), F.lit("UNKNOWN")).alias("_k"), raw.alias("_t"))
+    return rows.select(key, F.posexplode(parts).alias("chunk_no", "_c")).select(key, F.col("chunk_no").cast("long").alias("chunk_no"), F.encode("_c", "ISO-8859-1").alias("data"))
+
+
+def polynomial(data: Column) -> Column:
+    """Seed a + 256 b + 65536 c of bytes that are a x^2 + b x + c mod 256 at every place x, with the smallest a; null where none is.
+
+    c is the first byte, a + b the second less c; the third then gives 2a, and x^2 - x is even, so a below 128 decides.
+    """
+    latin = F.decode(data, "ISO-8859-1")
+    at = lambda x: F.ascii(F.substr(latin, x + 1, F.lit(1)))
+    c = at(F.lit(0))
+    s = F.when(F.length(data) > 1, at(F.lit(1)) - c).otherwise(F.lit(0))
+    twice = F.when(F.length(data) > 2, F.pmod(at(F.lit(2)) - c - 2 * s, F.lit(256))).otherwise(F.lit(0))
+    a = F.floor(twice / 2).cast("int")
+    b = F.pmod(s - a, F.lit(256))
+    whole = F.forall(F.sequence(F.lit(0), F.length(data) - 1), lambda x: F.pmod((a * x + b) * x + c, F.lit(256)) == at(x))
+    return F.when((F.length(data) > 0) & (twice % 2 == 0), F.when(whole, (a + 256 * b + 65536 * c).cast("long")))
+
+
 def frequency(chunks: DataFrame) -> DataFrame:
     """(data, n): partial counts are made before the shuffle."""
     return chunks.groupBy("data").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hashloom.functions import bits
-from hashloom.operators import chunks, codebook, edits, projection, search
+from hashloom.operators import chunks, codebook, denoise, edits, projection, search
+from hashloom.sources import tensors
 
 from .texts import COUNTS, ELITE, chunk_counts, documents, fixed_sql, format_detect, table
 
@@ -117,3 +118,54 @@ def softmax_loss(spark, sf_dir):
     e = s.join(m, "query").withColumn("e", F.exp(F.col("s") - F.col("m")))
     own = F.max(F.when(F.col("id") == F.col("query"), F.col("e")))
     return e.groupBy("query").agg(F.round(F.max("e") / F.sum("e"), 5).alias("top"), F.round(-F.ln(F.greatest(own / F.sum("e"), F.lit(1e-10))), 5).alias("loss"))
+
+
+_CUT = "(?:..){{32}}(?:{other}){{0,223}}(?:{ends})|(?:..){{1,256}}"
+_LINES, _JSON = _CUT.format(other="[1-9A-F].|0[0-9B-F]", ends="0A"), _CUT.format(other="[013-689A-F].|2[0-9ABD-F]|7[0-9A-CEF]", ends="7D|2C")
+
+
+@query(f"""WITH h AS (SELECT doc_id, hex(encode(text)) AS hex, CASE WHEN text LIKE '%' || chr(10) || '%' THEN 'LINES' WHEN text LIKE '%,%' THEN 'JSON' ELSE 'UNKNOWN' END AS kind FROM documents),
+p AS (SELECT doc_id, CASE kind WHEN 'LINES' THEN regexp_extract_all(hex, '{_LINES}') WHEN 'JSON' THEN regexp_extract_all(hex, '{_JSON}') ELSE regexp_extract_all(hex, '(?:..){{1,256}}') END AS p FROM h)
+SELECT doc_id, chunk_no, md5(hex) AS chunk_md5 FROM (SELECT doc_id, unnest(p) AS hex, unnest(range(len(p))) AS chunk_no FROM p)""")
+def contextual_chunks(spark, sf_dir):
+    """Chunks that end where a line or a member does, by what a text looks like."""
+    kind = F.when(F.contains("text", F.lit("\n")), "LINES").when(F.contains("text", F.lit(",")), "JSON").otherwise("UNKNOWN")
+    c = chunks.contextual(documents(spark, sf_dir).withColumn("kind", kind), "doc_id", "text", "kind", 256)
+    return c.select("doc_id", "chunk_no", F.md5(F.hex("data")).alias("chunk_md5"))
+
+
+@query(f"""WITH {fixed_sql(4)}, d AS (SELECT hex, count(*) AS n, length(hex) // 2 AS size, ('0x' || substr(hex, 1, 2))::INT AS c, TRY_CAST('0x' || substr(hex, 3, 2) AS INT) AS d, TRY_CAST('0x' || substr(hex, 5, 2) AS INT) AS e, TRY_CAST('0x' || substr(hex, 7, 2) AS INT) AS f FROM c GROUP BY hex),
+t AS (SELECT *, CASE WHEN size = 1 THEN 0 ELSE (d - c - a + 512) % 256 END AS b FROM d, range(256) r(a) WHERE size > 1 OR a = 0)
+SELECT hex, max(n) AS n, min(a + 256 * b + 65536 * c)::BIGINT AS seed FROM t WHERE (size < 3 OR (4 * a + 2 * b + c) % 256 = e) AND (size < 4 OR (9 * a + 3 * b + c) % 256 = f) GROUP BY hex, c HAVING min(a) IS NOT NULL""".replace("min(a + 256 * b + 65536 * c)", "arg_min(a + 256 * b + 65536 * c, a)"))
+def polynomial_fit(spark, sf_dir):
+    """Pieces of four bytes that a polynomial generates, with its seed and how often they come."""
+    counts = chunks.frequency(chunks.fixed(documents(spark, sf_dir), "doc_id", "text", 4))
+    return counts.select(F.hex("data").alias("hex"), "n", chunks.polynomial(F.col("data")).alias("seed")).filter("seed IS NOT NULL")
+
+
+@query("SELECT vec_id DIV 256 AS file, vec_id::VARCHAR AS name, len(embedding)::BIGINT AS n, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings".replace("DIV", "//"))
+def tensor_container(spark, sf_dir):
+    """Vectors in containers of 256 named tensors, and read from them again."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id DIV 256").alias("file"), F.col("vec_id").cast("string").alias("name"), F.array(F.size("embedding")).alias("shape"), F.col("embedding").alias("values"))
+    back = tensors.unpacked(tensors.packed(rows, "file", b"TNSR"), "file", b"TNSR")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("file", "name", F.element_at("shape", 1).cast("long").alias("n"), F.round(total, 5).alias("total"))
+
+
+def _language_model(spark, sf_dir, epochs):
+    rows = denoise.corpus(table(spark, sf_dir, "conversations"), "text")
+    words = denoise.vocabulary(rows, 2048)
+    return words, *denoise.train(rows, words, epochs)
+
+
+@query()
+def denoise_training(spark, sf_dir):
+    """Mean loss of the masked words, by epoch."""
+    return spark.createDataFrame([(e, float(x), n) for e, x, n in _language_model(spark, sf_dir, 4)[2]], "epoch long, loss double, n long")
+
+
+@query()
+def denoise_generate(spark, sf_dir):
+    """Eight places after each benchmark item, filled by a model trained on the conversations."""
+    words, w, _ = _language_model(spark, sf_dir, 4)
+    return denoise.generate(table(spark, sf_dir, "benchmark"), "item_id", "text", w, words, 8)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hashloom.operators import codebook, edits, projection
+from hashloom.operators import chunks, codebook, denoise, edits, projection
+from hashloom.sources import tensors
 
 
 @pytest.mark.parametrize("a, b, d", [([1, 2, 3], [1, 2, 3], 0), ([1, 2, 3], [1, 2, 4], 3), ([1, 2, 3], [4, 5, 6], 7), ([1, 2], [1, 2, 3, 4], 16), ([], [1], 8), ([], [], 0), ([255] * 9, [0] * 9, 72)])
@@ -77,3 +78,89 @@ def test_components_are_the_largest(spark, sf):
     assert np.allclose(vectors @ vectors.T, np.eye(64), atol=1e-6)
     assert np.allclose(np.sort(values)[::-1], np.linalg.eigvalsh(covariance)[::-1], rtol=1e-2)
     assert projection.moments(rows.limit(0), "embedding", 64)[0] == 0
+
+
+def walked(data, ends, most, least=32):
+    out, left = [], 0
+    while left < len(data):
+        window = data[left + least : left + most]
+        stop = next((left + least + i + 1 for i, b in enumerate(window) if b in ends), min(left + most, len(data)))
+        out.append(data[left:stop])
+        left = stop
+    return out
+
+
+def test_contextual_chunks(spark):
+    rng = random.Random(3)
+    texts = ["", None, "a", "x" * 32, "x" * 32 + "\n", "é," * 100, "\n" * 70] + ["".join(rng.choices("ab,}\né ", weights=[30, 30, 1, 1, 1, 3, 3], k=400)) for _ in range(12)]
+    kinds = ["JSON", "LINES", "ZIP", None]
+    rows = [(i, t, kinds[i % 4]) for i, t in enumerate(texts * 4)]
+    got = {}
+    for r in chunks.contextual(spark.createDataFrame(rows, "k long, t string, kind string"), "k", "t", "kind", 64).orderBy("k", "chunk_no").collect():
+        got.setdefault(r.k, []).append(bytes(r.data))
+    for k, t, kind in rows:
+        data = (t or "").encode()
+        want = walked(data, {"JSON": b"},", "LINES": b"\n"}[kind], 64) if kind in ("JSON", "LINES") else [data[i : i + 64] for i in range(0, len(data), 64)]
+        assert got.get(k, []) == want
+
+
+def test_polynomials(spark):
+    rng = random.Random(4)
+
+    def bytes_of(a, b, c, n):
+        return bytes((a * x * x + b * x + c) % 256 for x in range(n))
+
+    def brute_fit(d):
+        return next((a + 256 * b + 65536 * d[0] for a in range(256) for b in [(d[1] - d[0] - a) % 256 if len(d) > 1 else 0] if bytes_of(a, b, d[0], len(d)) == d), None) if d else None
+
+    data = [b"", b"\x00", b"\xff", b"\x01\xfe"] + [bytes_of(*rng.choices(range(256), k=3), rng.choice((2, 3, 4, 9, 300))) for _ in range(20)] + [bytes(rng.choices(range(256), k=rng.choice((3, 4)))) for _ in range(20)]
+    got = {r.id: r.s for r in frame(spark, data).select("id", chunks.polynomial(F.col("data")).alias("s")).collect()}
+    assert got == {i: brute_fit(d) for i, d in enumerate(data)}
+
+
+def test_tensor_containers(spark, tmp_path):
+    rows = [("f", "b", [2, 3], [1.5, 2.0, 3.0, 4.0, 5.0, 6.0]), ("f", "a", [0], []), ("g", "é", [70000], [float(i) for i in range(70000)])]
+    df = spark.createDataFrame(rows, "file string, name string, shape array<int>, values array<float>")
+    made = {r.file: bytes(r.content) for r in tensors.packed(df, "file", b"MAGC").collect()}
+    assert made["f"][:8] == b"MAGC\x02\x00\x00\x00"
+    for name, content in made.items():
+        (tmp_path / f"{name}.bin").write_bytes(content)
+    back = tensors.read_tensors(spark, str(tmp_path), b"MAGC").orderBy("name", "part").collect()
+    assert [(r.name, r["shape"], r.part, len(r["values"])) for r in back] == [("a", [0], 0, 0), ("b", [2, 3], 0, 6), ("é", [70000], 0, 65536), ("é", [70000], 1, 4464)]
+    assert back[1]["values"] == rows[0][3] and back[2]["values"] + back[3]["values"] == rows[2][3]
+    with pytest.raises(ValueError):
+        list(tensors.tensors(b"nothing", b"MAGC"))
+
+
+def test_language_model(spark):
+    shape = denoise.Shape(radius=2, width=4, hidden=6)
+    w = denoise.started(7, shape)
+    seen, target = np.array([[0, 1, 0, 2, 3], [4, 4, 0, 5, 0]]), np.array([3, 6])
+    _, g = denoise.gradients(w, seen, target)
+    for k in w:
+        at = tuple(s // 2 for s in w[k].shape)
+        side = []
+        for d in (1e-5, -1e-5):
+            moved = {n: v.copy() for n, v in w.items()}
+            moved[k][at] += d
+            side.append(denoise.gradients(moved, seen, target)[0] / 2)
+        assert abs((side[0] - side[1]) / 2e-5 - g[k][at]) < 1e-6
+    texts = [("The cat sat on the mat. The dog ran to the door!",), ("Birds fly over the hills",), (None,), ("",), ("too short",)] * 40
+    rows = denoise.corpus(spark.createDataFrame(texts, "text string"), "text")
+    words = denoise.vocabulary(rows, 50)
+    assert words[0] == "[MASK]" and words[1:] == sorted(words[1:]) and "short" not in words
+    w, told = denoise.train(rows, words, 12, workers=2)
+    assert told[-1][1] < told[0][1] / 2
+    assert denoise.train(rows, words, 2, workers=2)[1] == denoise.train(rows, words, 2, workers=2)[1]
+    assert denoise.train(rows.limit(0), words, 2)[1] == [(0, 0.0, 0), (1, 0.0, 0)]
+    out = {r.k: r.generated for r in denoise.generate(spark.createDataFrame([(1, "the cat"), (2, None), (3, "zzz")], "k long, t string"), "k", "t", w, words, 4).collect()}
+    assert set(out) == {1, 2, 3} and all(x in words[1:] for t in out.values() for x in t.split())
+
+
+def test_masked_places():
+    shape, index = denoise.Shape(radius=1, masked=1.0), {"a": 1, "b": 2}
+    words = [["a", "b", "a"], ["a", "zzz", "b"], []]
+    for whole, want in ((False, [1, 1, 1, 2, 2]), (True, [1, 1, 2])):
+        seen, target = denoise.masked_windows(words, index, shape, np.random.default_rng(0), whole)
+        assert sorted(target.tolist()) == want and (seen == 0).all() and seen.shape == (len(want), 3)
+    assert denoise.masked_windows([], index, shape, np.random.default_rng(0))[0].shape == (0, 3)
