@@ -9,32 +9,35 @@ from pyspark.sql import functions as F
 BINARY = ("UNKNOWN", "ELF", "ZIP", "PNG")
 
 
+def latin(text: Column) -> Column:
+    """A text's UTF-8 bytes, a character each: one pattern can then cut them in one pass, and no row carries a whole text for each of its slices."""
+    return F.decode(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), "ISO-8859-1")
+
+
+def slices(raw: Column, size: int) -> Column:
+    return F.regexp_extract_all(raw, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def fixed(docs: DataFrame, key: str, text: str, size: int = 128) -> DataFrame:
     """(key, chunk_no, off, data): slices of the UTF-8 bytes, the last may be short; an empty text has none."""
-    data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    rows = docs.select(key, data.alias("_d")).filter(F.length("_d") > 0)
-    n = F.sequence(F.lit(0), F.floor((F.length("_d") - 1) / size).cast("int"))
-    return rows.select(key, "_d", F.explode(n).alias("chunk_no")).select(key, F.col("chunk_no").cast("long").alias("chunk_no"), (F.col("chunk_no") * size).cast("long").alias("off"), F.substring(F.col("_d"), F.col("chunk_no") * size + 1, F.lit(size)).alias("data"))
+    rows = docs.select(key, F.posexplode(slices(latin(F.col(text)), size)).alias("chunk_no", "_c"))
+    no = F.col("chunk_no").cast("long")
+    return rows.select(key, no.alias("chunk_no"), (no * size).alias("off"), F.encode("_c", "ISO-8859-1").alias("data"))
 
 
 def delimited(docs: DataFrame, key: str, text: str, most: int = 1024) -> DataFrame:
     """Chunks that end after a line feed, or at `most` bytes."""
-    parts = F.split(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").cast("string"), "(?<=\n)")
-    lines = docs.select(key, F.posexplode(parts).alias("line", "_t")).select(key, "line", F.encode("_t", "UTF-8").alias("_d")).filter(F.length("_d") > 0)
-    n = F.sequence(F.lit(0), F.floor((F.length("_d") - 1) / most).cast("int"))
-    return lines.select(key, "line", "_d", F.explode(n).alias("part")).select(key, F.col("line").cast("long").alias("line"), F.col("part").cast("long").alias("part"), F.substring(F.col("_d"), F.col("part") * most + 1, F.lit(most)).alias("data"))
+    lines = docs.select(key, F.posexplode(F.split(latin(F.col(text)), "(?<=\n)")).alias("line", "_t"))
+    rows = lines.select(key, F.col("line").cast("long").alias("line"), F.posexplode(slices(F.col("_t"), most)).alias("part", "_c"))
+    return rows.select(key, "line", F.col("part").cast("long").alias("part"), F.encode("_c", "ISO-8859-1").alias("data"))
 
 
 def contextual(docs: DataFrame, key: str, text: str, kind: str, most: int = 1024, least: int = 32) -> DataFrame:
-    """(key, chunk_no, data): chunks of `least` bytes, on to the next } or , of JSON or line feed of other text, `most` bytes in all; binary kinds are cut at `most`.
-
-    The bytes are read as Latin-1, so that one pattern cuts a text in one pass.
-    """
+    """(key, chunk_no, data): chunks of `least` bytes, on to the next } or , of JSON or line feed of other text, `most` bytes in all; binary kinds are cut at `most`."""
     cut = lambda ends: f"(?s).{{{least}}}[^{ends}]{{0,{most - least - 1}}}[{ends}]|.{{1,{most}}}"
-    raw = F.decode(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), "ISO-8859-1")
     every = lambda pattern: F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))
-    parts = F.when(F.col("_k") == "JSON", every(cut("},"))).when(F.col("_k").isin(*BINARY), every(f"(?s).{{1,{most}}}")).otherwise(every(cut("\\n")))
-    rows = docs.select(key, F.coalesce(F.col(kind), F.lit("UNKNOWN")).alias("_k"), raw.alias("_t"))
+    parts = F.when(F.col("_k") == "JSON", every(cut("},"))).when(F.col("_k").isin(*BINARY), slices(F.col("_t"), most)).otherwise(every(cut("\\n")))
+    rows = docs.select(key, F.coalesce(F.col(kind), F.lit("UNKNOWN")).alias("_k"), latin(F.col(text)).alias("_t"))
     return rows.select(key, F.posexplode(parts).alias("chunk_no", "_c")).select(key, F.col("chunk_no").cast("long").alias("chunk_no"), F.encode("_c", "ISO-8859-1").alias("data"))
 
 
@@ -43,15 +46,20 @@ def polynomial(data: Column) -> Column:
 
     c is the first byte, a + b the second less c; the third then gives 2a, and x^2 - x is even, so a below 128 decides.
     """
-    latin = F.decode(data, "ISO-8859-1")
-    at = lambda x: F.ascii(F.substr(latin, x + 1, F.lit(1)))
-    c = at(F.lit(0))
-    s = F.when(F.length(data) > 1, at(F.lit(1)) - c).otherwise(F.lit(0))
-    twice = F.when(F.length(data) > 2, F.pmod(at(F.lit(2)) - c - 2 * s, F.lit(256))).otherwise(F.lit(0))
-    a = F.floor(twice / 2).cast("int")
-    b = F.pmod(s - a, F.lit(256))
-    whole = F.forall(F.sequence(F.lit(0), F.length(data) - 1), lambda x: F.pmod((a * x + b) * x + c, F.lit(256)) == at(x))
-    return F.when((F.length(data) > 0) & (twice % 2 == 0), F.when(whole, (a + 256 * b + 65536 * c).cast("long")))
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    byte = lambda x: F.ascii(F.substr(F.decode(data, "ISO-8859-1"), x + 1, F.lit(1)))
+
+    def seed(d: Column) -> Column:
+        c = F.get(d, F.lit(0))
+        s = F.coalesce(F.get(d, F.lit(1)) - c, F.lit(0))
+        twice = F.coalesce(F.pmod(F.get(d, F.lit(2)) - c - 2 * s, F.lit(256)), F.lit(0))
+        return F.when(twice % 2 == 0, let(F.floor(twice / 2).cast("int"), lambda a: let(F.pmod(s - a, F.lit(256)), lambda b: checked(d, a, b, c))))
+
+    def checked(d: Column, a: Column, b: Column, c: Column) -> Column:
+        whole = F.forall(F.transform(d, lambda y, x: F.pmod((a * x + b) * x + c - y, F.lit(256))), lambda r: r == 0)
+        return F.when(whole, (a + 256 * b + 65536 * c).cast("long"))
+
+    return F.when(F.length(data) > 0, let(F.transform(F.sequence(F.lit(0), F.length(data) - 1), byte), seed))
 
 
 def frequency(chunks: DataFrame) -> DataFrame:

@@ -84,6 +84,8 @@ def masked_windows(words: list, index: dict, shape: Shape, rng: np.random.Genera
     """
     seen, target = [np.zeros((0, 2 * shape.radius + 1), int)], [np.zeros(0, int)]
     for ws in words:
+        if not len(ws):
+            continue
         ids = np.array([index.get(x, MASK) for x in ws])
         hidden = rng.random(len(ids)) < shape.masked
         if not whole or (ids != MASK).all():
