@@ -105,3 +105,33 @@ def merged(word: tuple, left: str, right: str) -> tuple:
             parts.append(word[i])
             i += 1
     return tuple(parts)
+
+
+def symbols(words: DataFrame, merges: list[tuple[int, str, str, int]]) -> list[str]:
+    """Symbols by id: the mask, the single characters and word end in order, then what each merge makes."""
+    letters = words.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct().collect()
+    return list(dict.fromkeys(["[MASK]", *sorted({r["c"] for r in letters} | {"</w>"}), *(left + right for _, left, right, _ in merges)]))
+
+
+def encode(words: DataFrame, merges: list[tuple[int, str, str, int]], table: list[str]) -> DataFrame:
+    """Adds ids to distinct words: all merges in the order they were learnt; symbols not in the table are the mask. A null word has none."""
+    place = {x: i for i, x in enumerate(table)}
+
+    @F.pandas_udf("array<int>")
+    def ids(word: pd.Series) -> pd.Series:
+        out = []
+        for w in word.fillna(""):
+            parts = tuple(w) + ("</w>",) if w else ()
+            for _, left, right, _ in merges:
+                if len(parts) > 1:
+                    parts = merged(parts, left, right)
+            out.append([place.get(x, 0) for x in parts])
+        return pd.Series(out)
+
+    return words.withColumn("ids", ids("word"))
+
+
+def decode(ids, table: list[str]):
+    """Text of ids: symbols joined, word ends as spaces; masks stay visible."""
+    names = F.array(*(F.lit(x) for x in table))
+    return F.trim(F.replace(F.array_join(F.transform(ids, lambda i: F.get(names, i)), ""), F.lit("</w>"), F.lit(" ")))

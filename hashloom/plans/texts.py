@@ -319,11 +319,24 @@ def cdc_chunks(spark, sf_dir):
     return bpe.content_chunks(documents(spark, sf_dir), "doc_id", "text", 512)
 
 
+def _words(spark, sf_dir, name):
+    return table(spark, sf_dir, name).select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def bpe_train(spark, sf_dir):
     """Merges learnt from the benchmark's distinct words."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return spark.createDataFrame(bpe.train(words, 60), "rank long, left string, right string, n long")
+    return spark.createDataFrame(bpe.train(_words(spark, sf_dir, "benchmark"), 60), "rank long, left string, right string, n long")
+
+
+@query()
+def bpe_encode(spark, sf_dir):
+    """All distinct words of the documents in symbols learnt from the benchmark, and read back."""
+    learnt = _words(spark, sf_dir, "benchmark")
+    merges = bpe.train(learnt, 60)
+    names = bpe.symbols(learnt, merges)
+    coded = bpe.encode(_words(spark, sf_dir, "documents"), merges, names)
+    return coded.select("word", "n", "ids", bpe.decode(F.col("ids"), names).alias("decoded"))
 
 
 @query(f"WITH {bags('documents', 'doc_id')}, n AS (SELECT token, sum(tf) AS n FROM terms GROUP BY token), top AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS r FROM n QUALIFY r <= 8), p AS (SELECT token, r, n / (SELECT sum(n) FROM top) AS p FROM top) SELECT token, round(p, 6) AS p, round(sum(p) OVER (ORDER BY r), 6) AS upto FROM p")

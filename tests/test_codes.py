@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hashloom.operators import chunks, codebook, denoise, edits, projection
+from hashloom.operators import bpe, chunks, codebook, denoise, edits, projection
 from hashloom.sources import tensors
 
 
@@ -164,3 +164,15 @@ def test_masked_places():
         seen, target = denoise.masked_windows(words, index, shape, np.random.default_rng(0), whole)
         assert sorted(target.tolist()) == want and (seen == 0).all() and seen.shape == (len(want), 3)
     assert denoise.masked_windows([], index, shape, np.random.default_rng(0))[0].shape == (0, 3)
+
+
+def test_merges_encode_and_decode(spark):
+    words = spark.createDataFrame([("aba", 5), ("abab", 3), ("cd", 1)], "word string, n long")
+    merges = bpe.train(words, 3)
+    assert merges[0] == (0, "a", "b", 11)
+    names = bpe.symbols(words, merges)
+    assert names[:6] == ["[MASK]", "</w>", "a", "b", "c", "d"] and len(names) == len(set(names)) == 9
+    asked = spark.createDataFrame([("aba",), ("dcba",), ("axb",), ("",), (None,)], "word string")
+    got = {r.word: (r.ids, r.d) for r in bpe.encode(asked, merges, names).withColumn("d", bpe.decode(F.col("ids"), names)).collect()}
+    assert got["aba"][1] == "aba" and got["dcba"][1] == "dcba" and got["axb"][1] == "a[MASK]b" and got[""] == got[None] == ([], "")
+    assert len(got["aba"][0]) < 4 and got["axb"][0][1] == 0
