@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch at most: a batch of very long texts still fits a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
+#: Column of the key that with_row_key() gives.
+ROW = "_hashloom_row"
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below spark.checkpoint.dir (set here only where it is unset)."""
@@ -34,6 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with a written number of each row, which names it whatever its doc_id: null and repeated ones do not."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def row_key(docs: DataFrame) -> list[str]:
+    """The row key's name, if docs have one: operators hand it through."""
+    return [ROW] if ROW in docs.columns else []
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; every other column is left behind, whatever its name."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, texts_of
+from .common import ROW, map_batches, materialize, row_key, texts_of, with_row_key
 
 #: Entries of a memtable before it is flushed, and 64-bit words of the filter (1 MiB, whatever the input).
 MEMTABLE, FILTER_WORDS = 200_000, 1 << 17
@@ -92,8 +92,9 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memt
     """
     sha = F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
     cut = F.substring(sha, 1, digest_bytes)
+    more = row_key(docs)
     texts = texts_of(docs)
-    digests = materialize(texts.select("doc_id", sha.alias("sha")).withColumn("digest", F.substring("sha", 1, digest_bytes)), "digests")
+    digests = materialize(texts_of(docs, *more).select("doc_id", *more, sha.alias("sha")).withColumn("digest", F.substring("sha", 1, digest_bytes)), "digests")
     runs = materialize(flush_runs(digests, keep, memtable), "runs")
     index = materialize(compact(runs, keep), "index")
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
@@ -109,10 +110,17 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memt
         F.coalesce("n", F.lit(1)).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *more,
     )
 
 
 def kept_documents(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """docs without the later copies of equal texts, with docs' columns; both joins are on unique ids."""
-    dropped = exact_dedup(docs, keep).filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_dropped")), "left_anti")
+    """docs without the later copies of equal texts, with docs' columns; rows are chosen by their row key, not by doc_id.
+
+    Null doc_ids name no document: of a text that only such rows have, the first row stays.
+    """
+    rows = with_row_key(docs)
+    found = exact_dedup(rows, keep)
+    named = found.filter("kept AND keep_id IS NOT NULL").select(ROW)
+    nameless = found.filter("keep_id IS NULL").groupBy("text_sha256").agg(F.min(ROW).alias(ROW)).select(ROW)
+    return rows.join(named.unionByName(nameless), ROW, "left_semi").drop(ROW)

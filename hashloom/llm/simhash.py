@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, texts_of
+from .common import ROW, map_batches, materialize, row_key, texts_of, with_row_key
 from .components import components
 
 #: Buckets of more distinct fingerprints than this are linked by shared neighbours at one bit, not by pairs.
@@ -40,14 +40,15 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the unsigned fingerprint's 64 bits as a signed long. Null and empty texts: 0."""
+    """(doc_id, fp), and docs' row key if they have one: fp is the unsigned fingerprint's 64 bits as a signed long. Null and empty texts: 0."""
+    more = row_key(docs)
 
     def tasks(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    return map_batches(texts_of(docs), tasks, "doc_id long, fp long")
+    return map_batches(texts_of(docs, *more), tasks, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -85,23 +86,34 @@ def links(distinct: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> Dat
     return pairs.unionByName(hub)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
-
-    Null, empty and blank texts have fingerprint 0 and link like any other. Equal fingerprints link. A null doc_id
-    takes part, but names a component only if the component has no other. No documents: no rows.
-    """
+def grouped(docs: DataFrame, radius: int = 2, width: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
+    """What near_duplicates() gives, with the component's root (a fingerprint) and docs' row key if they have one."""
     fps = materialize(fingerprints(docs, width), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, radius, pairwise))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = materialize(placed, "placed")
     least = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = materialize(placed.join(least, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = materialize(placed.join(least, "root").select("fp", "component_id", "root"), "named")
+    return fps.join(named, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
+
+    Null, empty and blank texts have fingerprint 0 and link like any other. Equal fingerprints link. A null doc_id
+    takes part, but names a component only if the component has no other. No documents: no rows.
+    """
+    return grouped(docs, radius, width, pairwise).select("doc_id", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, **how) -> DataFrame:
-    """docs without those that are not the smallest doc_id of their component."""
-    dropped = near_duplicates(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    """docs without those that are not the smallest doc_id of their component; rows are chosen by their row key, not by doc_id.
+
+    Null doc_ids name no document: of a component that only such rows make up, the first row stays.
+    """
+    rows = with_row_key(docs)
+    found = materialize(grouped(rows, **how), "grouped")
+    named = found.filter("doc_id = component_id").select(ROW)
+    nameless = found.filter("component_id IS NULL").groupBy("root").agg(F.min(ROW).alias(ROW)).select(ROW)
+    return rows.join(named.unionByName(nameless), ROW, "left_semi").drop(ROW)
