@@ -96,6 +96,19 @@ def mih_self_join(spark, sf_dir):
     return search.band_links(h.select(F.col("vec_id").alias("id"), F.col("h").alias("hash")), 20)
 
 
+@query(f"WITH {HASHES}, {PAIRS} SELECT query, min(id) AS id, arg_min(distance, id) AS distance FROM pairs WHERE distance <= 20 GROUP BY query")
+def exact_first_match(spark, sf_dir):
+    """The first row within 20 bits of each stated query: what mih_first_match gives only of rows that share a band."""
+    return search.first_within(*asked(spark, sf_dir), 20)
+
+
+@query(f"WITH {HASHES} SELECT a.vec_id AS id, count(b.vec_id) AS n_links FROM one a LEFT JOIN one b ON a.vec_id <> b.vec_id AND {dist('a.h', 'b.h')} <= 20 GROUP BY a.vec_id")
+def exact_self_join(spark, sf_dir):
+    """All links within 20 bits: what mih_self_join counts only of pairs that share a band."""
+    h = hashed(spark, sf_dir)
+    return search.all_links(h.select(F.col("vec_id").alias("id"), F.col("h").alias("hash")), 20)
+
+
 @query("SELECT d::BIGINT AS distance, round(100 / (1 + exp(1.5 * (d - 4))), 6) AS confidence, CASE WHEN d > 14 THEN 0 ELSE round(100 / (1 + exp(1.5 * (d - 4))), 6) END AS gated, round(greatest(0, 100 - 2.0 * d), 6) AS linear FROM range(65) t(d)")
 def sigmoid_curve(spark, sf_dir):
     d = F.col("id")
