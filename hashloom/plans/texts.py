@@ -96,12 +96,20 @@ def oov_rescue(spark, sf_dir):
     return lexicon.rescue(probe.join(known, "token", "left_anti"), known)
 
 
+def _msg(conv, turn):
+    """A turn's number as the SQL has it; a turn from 1000 on, whose number would be the next conversation's, has a negative one of its own (conv_id below 2^32)."""
+    return F.when(turn < 1000, conv * 1000 + turn).otherwise(-(conv * (1 << 31) + turn))
+
+
 def turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg"), "conv_id", "turn", "role", "text")
+    """Turns, keyed by `at`: conversation and turn."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return t.select(F.struct("conv_id", "turn").alias("at"), _msg(F.col("conv_id"), F.col("turn")).alias("msg"), "conv_id", "turn", "role", "text")
 
 
 def turn_hashes(spark, sf_dir):
-    return token_simhash(lexicon.term_counts(turns(spark, sf_dir), "msg", "text"), "msg", "token", "tf")
+    h = token_simhash(lexicon.term_counts(turns(spark, sf_dir), "at", "text"), "at", "token", "tf")
+    return h.select("at", _msg(F.col("at.conv_id"), F.col("at.turn")).alias("msg"), "hash")
 
 
 _TALK = "talk AS (SELECT conv_id * 1000 + turn AS msg, conv_id, turn, role, text FROM conversations)"
@@ -110,15 +118,15 @@ _TURNS = f"{_TALK}, {bags('talk', 'msg')}, {token_hash('terms', 'msg', 'tf', 'ha
 
 @query(f"WITH {_TURNS} SELECT msg, hash FROM hashes")
 def text_simhash(spark, sf_dir):
-    return turn_hashes(spark, sf_dir)
+    return turn_hashes(spark, sf_dir).select("msg", "hash")
 
 
 @query(f"WITH {_TURNS} SELECT a.msg, CASE WHEN b.hash IS NULL OR b.hash = 0 THEN a.hash ELSE (b.hash & -4294967296) | (a.hash & 4294967295) END AS mixed FROM hashes a LEFT JOIN hashes b ON b.msg = a.msg - 1 AND a.msg % 1000 > 0")
 def context_mix(spark, sf_dir):
     """The turn before is an equality join on the turn's number: a conversation of any length is no hot key."""
     h = turn_hashes(spark, sf_dir)
-    before = h.select((F.col("msg") + 1).alias("msg"), F.col("hash").alias("previous")).filter("msg % 1000 > 0")
-    return h.join(before, "msg", "left").select("msg", bits.mix_context(F.coalesce("previous", F.lit(0)), F.col("hash")).alias("mixed"))
+    before = h.select(F.struct(F.col("at.conv_id").alias("conv_id"), (F.col("at.turn") + 1).alias("turn")).alias("at"), F.col("hash").alias("previous")).filter("at.turn > 0")
+    return h.join(before, "at", "left").select("msg", bits.mix_context(F.coalesce("previous", F.lit(0)), F.col("hash")).alias("mixed"))
 
 
 @query("SELECT q.conv_id, q.turn, md5(q.text) AS question_md5, md5(a.text) AS answer_md5 FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'")
@@ -135,11 +143,12 @@ SELECT query, id, distance, round(100 / (1 + exp(distance - (12 + 6 / log2(great
 def qa_retrieval(spark, sf_dir):
     """User turns of every hundredth conversation against all user turns; the confidence's middle depends on the query's length."""
     t = turns(spark, sf_dir).filter("role = 'user'")
-    h = t.select("msg", "text").join(turn_hashes(spark, sf_dir), "msg")
-    asked = h.filter("msg DIV 1000 % 100 = 0")
-    near = search.nearest(asked.select(F.col("msg").alias("query"), F.col("hash").alias("qhash")), h.select(F.col("msg").alias("id"), "hash"))
+    h = t.select("at", "text").join(turn_hashes(spark, sf_dir), "at")
+    asked = h.filter("at.conv_id % 100 = 0")
+    near = search.nearest(asked.select(F.col("at").alias("query"), F.col("hash").alias("qhash")), h.select(F.col("at").alias("id"), "hash"))
     middle = calibration.length_middle(text.word_count(F.col("text")))
-    return near.join(asked.select(F.col("msg").alias("query"), "text"), "query").select("query", "id", "distance", F.round(calibration.confidence(F.col("distance"), middle, 1.0), 6).alias("confidence"))
+    named = [_msg(F.col(f"{c}.conv_id"), F.col(f"{c}.turn")).alias(c) for c in ("query", "id")]
+    return near.join(asked.select(F.col("at").alias("query"), "text"), "query").select(*named, "distance", F.round(calibration.confidence(F.col("distance"), middle, 1.0), 6).alias("confidence"))
 
 
 @query("SELECT conv_id, turn, round(12 + 6 / log2(greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 1) + 1), 6) AS middle FROM conversations")

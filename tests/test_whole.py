@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from hashloom.functions import bits
 from hashloom.operators import search
+from hashloom.plans import texts
 
 
 def test_links_without_a_common_band(spark):
@@ -20,3 +22,35 @@ def test_links_without_a_common_band(spark):
     assert banded < sum(map(len, near.values()))  # the candidate report misses pairs with a flip in each band
     queries = rows.filter("id < 9").select(F.col("id").alias("query"), F.col("hash").alias("qhash"))
     assert {r.query: r.id for r in search.first_within(queries, rows, 20).collect()} == {i: n[0] for i, n in near.items() if i < 9}
+
+
+def test_turns_beyond_a_thousand(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", " ".join(rng.choices("abcdefgh", k=4)) + f" w{c} w{t}") for c, n in ((100, 1203), (101, 240), (102, 3)) for t in range(n)]
+    rows = [(c, t, r, x + (" q" if c == 100 else "")) for c, t, r, x in rows]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sf = str(tmp_path)
+
+    def number(c, t):
+        return c * 1000 + t if t < 1000 else -(c * 2**31 + t)
+
+    # each turn alone, under a plain number of its own
+    alone = spark.createDataFrame([(i, x) for i, (*_, x) in enumerate(rows)], "i long, text string")
+    hashes = {rows[r.i][:2]: r.hash for r in texts.token_simhash(texts.lexicon.term_counts(alone, "i", "text"), "i", "token", "tf").collect()}
+    got = texts.text_simhash(spark, sf).collect()
+    assert len(got) == len(rows) and {r.msg: r.hash for r in got} == {number(*k): h for k, h in hashes.items()}
+
+    def mixed(c, t):
+        h, p = hashes[c, t], hashes.get((c, t - 1), 0)
+        return h if p == 0 else p & bits.HIGH | h & bits.LOW
+
+    got = texts.context_mix(spark, sf).collect()
+    assert len(got) == len(rows) and {r.msg: r.mixed for r in got} == {number(*k): mixed(*k) for k in hashes}
+    users = [(c, t) for c, t, r, _ in rows if r == "user"]
+    got = {r.query: (r.id, r.distance) for r in texts.qa_retrieval(spark, sf).collect()}
+    want = {}
+    for q in users:
+        if q[0] % 100 == 0:
+            d, k = min((((hashes[q] ^ hashes[k]) & (1 << 64) - 1).bit_count(), k) for k in users if k != q)
+            want[number(*q)] = (number(*k), d)
+    assert got == want
