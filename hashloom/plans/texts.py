@@ -96,6 +96,14 @@ def oov_rescue(spark, sf_dir):
     return lexicon.rescue(probe.join(known, "token", "left_anti"), known)
 
 
+@query()
+def oov_rescue_documents(spark, sf_dir):
+    """oov_rescue over the vocabulary of oov_stats, all tokens of the documents; too many for the SQL's join of all pairs."""
+    known = _terms(spark, sf_dir).select("token").distinct()
+    probe = lexicon.term_counts(table(spark, sf_dir, "benchmark"), "item_id", "text").select("token").distinct()
+    return lexicon.rescue(probe.join(known, "token", "left_anti"), known)
+
+
 def _msg(conv, turn):
     """A turn's number as the SQL has it; a turn from 1000 on, whose number would be the next conversation's, has a negative one of its own (conv_id below 2^32)."""
     return F.when(turn < 1000, conv * 1000 + turn).otherwise(-(conv * (1 << 31) + turn))

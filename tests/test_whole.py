@@ -54,3 +54,20 @@ def test_turns_beyond_a_thousand(spark, tmp_path):
             d, k = min((((hashes[q] ^ hashes[k]) & (1 << 64) - 1).bit_count(), k) for k in users if k != q)
             want[number(*q)] = (number(*k), d)
     assert got == want
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return len(b) - len(a) <= 1 and (a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :])
+
+
+def test_rescue_over_documents(spark, tmp_path):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 6)))
+    known, asked = {word() for _ in range(60)}, {word() for _ in range(300)}
+    for name, key, words in (("documents", "doc_id", known), ("benchmark", "item_id", asked), ("conversations", "conv_id", {"zzzzzz"})):
+        spark.createDataFrame([(0, " ".join(sorted(words)))], f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {u: min(near) for u in asked - known if len(u) > 2 and (near := [k for k in known if one_edit(u, k)])}
+    assert want and {r.token: r.match for r in texts.oov_rescue_documents(spark, str(tmp_path)).collect()} == want
