@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hashloom.functions import bits
 from hashloom.operators import search
 from hashloom.plans import texts
+from hashloom.streaming import state
 
 
 def test_links_without_a_common_band(spark):
@@ -71,3 +72,16 @@ def test_rescue_over_documents(spark, tmp_path):
         spark.createDataFrame([(0, " ".join(sorted(words)))], f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
     want = {u: min(near) for u in asked - known if len(u) > 2 and (near := [k for k in known if one_edit(u, k)])}
     assert want and {r.token: r.match for r in texts.oov_rescue_documents(spark, str(tmp_path)).collect()} == want
+
+
+def test_cache_keeps_old_hashes(spark, tmp_path):
+    rng = random.Random(5)
+    raw = [rng.getrandbits(64) for _ in range(1300)]
+    raw += [raw[0] >> 32 << 32 | 77, raw[0]]  # the last turn, mixed with the one before, is the first turn's hash again
+    rows = spark.createDataFrame([(1, t, h - (1 << 64) if h >> 63 else h) for t, h in enumerate(raw)], "conv_id long, turn long, hash long")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = state.semantic_cache(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), limit=0)
+    q = stream.writeStream.format("memory").queryName("old").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck").start()
+    q.awaitTermination(120)
+    got = {r.turn: (r.action, r.distance) for r in spark.table("old").collect()}
+    assert got.pop(1301) == ("hit", 0) and set(got.values()) == {("insert", -1)} and len(got) == 1301
