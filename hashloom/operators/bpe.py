@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,26 +70,44 @@ def content_chunks(docs: DataFrame, key: str, text: str, target: int) -> DataFra
     return rows.select(key, F.col("chunk_no").cast("long").alias("chunk_no"), F.col("_s.off").alias("off"), F.col("_s.size").alias("size"), F.sha2(F.substring(F.col("_d"), (F.col("_s.off") + 1).cast("int"), F.col("_s.size").cast("int")), 256).alias("digest"))
 
 
-def train(words: DataFrame, merges: int, most_words: int = 100_000) -> list[tuple[int, str, str, int]]:
-    """Word-level merges (rank, left, right, count) from (word, n): the most frequent `most_words` words, ties by pair.
+def train(words: DataFrame, merges: int, every: int = 10) -> list[tuple[int, str, str, int]]:
+    """Word-level merges (rank, left, right, count) from all of (word, n), whatever their number; ties by pair.
 
-    Spark counts the words; the merge loop runs over their bounded table.
+    The words stay in Spark, split as far as the merges are learnt; each round counts their pairs with partial sums and
+    brings one pair to the driver. The split words are kept anew every few rounds.
     """
-    table = {tuple(r["word"]) + ("</w>",): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(most_words).collect()}
-    out = []
-    for rank in range(merges):
-        pairs: Counter = Counter()
-        for w, n in table.items():
-            for pair in zip(w, w[1:], strict=False):
-                pairs[pair] += n
-        if not pairs:
-            break
-        (left, right), n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
-        out.append((rank, left, right, n))
-        joined: dict = {}
-        for w, c in table.items():
-            joined[merged(w, left, right)] = joined.get(merged(w, left, right), 0) + c
-        table = joined
+
+    def after(new: list[tuple[str, str]]):
+        @F.pandas_udf("array<string>")
+        def joined(parts: pd.Series) -> pd.Series:
+            out = []
+            for p in parts:
+                p = tuple(p)
+                for left, right in new:
+                    p = merged(p, left, right)
+                out.append(p)
+            return pd.Series(out)
+
+        return joined("parts") if new else F.col("parts")
+
+    split = F.udf(lambda w: [*w, "</w>"], "array<string>")  # by code point, as merged() reads words
+    kept = words.filter("word IS NOT NULL").select(split("word").alias("parts"), "n").persist()
+    out, new = [], []
+    try:
+        for rank in range(merges):
+            if len(new) == every:
+                older, kept, new = kept, kept.select(after(new).alias("parts"), "n").persist(), []
+                kept.count()
+                older.unpersist()
+            now = kept.select(after(new).alias("parts"), "n").filter(F.size("parts") > 1)
+            pairs = now.select("n", F.explode(F.arrays_zip(F.slice("parts", 1, F.size("parts") - 1).alias("l"), F.slice("parts", 2, F.size("parts") - 1).alias("r"))).alias("p"))
+            best = pairs.groupBy("p.l", "p.r").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l", "r").first()
+            if best is None:
+                break
+            out.append((rank, best["l"], best["r"], best["n"]))
+            new.append((best["l"], best["r"]))
+    finally:
+        kept.unpersist()
     return out
 
 

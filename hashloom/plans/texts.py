@@ -342,17 +342,17 @@ def _words(spark, sf_dir, name):
 
 @query()
 def bpe_train(spark, sf_dir):
-    """Merges learnt from the benchmark's distinct words."""
-    return spark.createDataFrame(bpe.train(_words(spark, sf_dir, "benchmark"), 60), "rank long, left string, right string, n long")
+    """Merges learnt from all distinct words of the documents."""
+    return spark.createDataFrame(bpe.train(_words(spark, sf_dir, "documents"), 60), "rank long, left string, right string, n long")
 
 
 @query()
 def bpe_encode(spark, sf_dir):
-    """All distinct words of the documents in symbols learnt from the benchmark, and read back."""
-    learnt = _words(spark, sf_dir, "benchmark")
+    """All distinct words of the documents in symbols learnt from them, and read back."""
+    learnt = _words(spark, sf_dir, "documents")
     merges = bpe.train(learnt, 60)
     names = bpe.symbols(learnt, merges)
-    coded = bpe.encode(_words(spark, sf_dir, "documents"), merges, names)
+    coded = bpe.encode(learnt, merges, names)
     return coded.select("word", "n", "ids", bpe.decode(F.col("ids"), names).alias("decoded"))
 
 

@@ -1,11 +1,12 @@
 """What a cut, a small table or a narrow key once left out."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from hashloom.functions import bits
-from hashloom.operators import search
+from hashloom.operators import bpe, search
 from hashloom.plans import texts
 from hashloom.streaming import state
 
@@ -85,3 +86,32 @@ def test_cache_keeps_old_hashes(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.turn: (r.action, r.distance) for r in spark.table("old").collect()}
     assert got.pop(1301) == ("hit", 0) and set(got.values()) == {("insert", -1)} and len(got) == 1301
+
+
+def plain_merges(words, merges):
+    table, out = {(*w, "</w>"): n for w, n in words}, []
+    for rank in range(merges):
+        pairs = Counter()
+        for w, n in table.items():
+            for pair in zip(w, w[1:], strict=False):
+                pairs[pair] += n
+        if not pairs:
+            break
+        (left, right), n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        out.append((rank, left, right, n))
+        table = {bpe.merged(w, left, right): n for w, n in table.items()}
+    return out
+
+
+def test_rare_words_count_in_merges(spark):
+    rng = random.Random(4)
+    words = [(w, rng.randint(1, 9)) for w in sorted({"".join(rng.choices("abcé😀", k=rng.randint(1, 7))) for _ in range(90)})]
+    assert bpe.train(spark.createDataFrame(words, "word string, n long"), 25, every=4) == plain_merges(words, 25)
+    # 100,000 commoner words of x and digits, and as many rare ones that all hold "yz"
+    many = spark.range(100_000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("word"), F.lit(2).cast("long").alias("n"))
+    rare = spark.range(300_000).select(F.concat(F.lit("yz"), F.col("id").cast("string")).alias("word"), F.lit(1).cast("long").alias("n"))
+    assert bpe.train(many.unionByName(rare), 1) == [(0, "y", "z", 300_000)]
+
+
+def test_merges_are_learnt_from_the_documents(spark, sf):
+    assert all(0 not in r.ids and r.decoded == r.word for r in texts.bpe_encode(spark, sf).collect())
