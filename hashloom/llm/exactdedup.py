@@ -1,7 +1,7 @@
 """Exact deduplication with a log-structured merge index.
 
-Tasks keep a memtable of text digests and flush it as a run sorted by digest; a compaction merges all runs into
-one, range-partitioned by digest, which keeps one identifier and a count for each digest. Digests that occur more
+Tasks keep a memtable of text digests and flush it as a run sorted by digest; a compaction groups all runs into
+one by digest, which keeps one identifier and a count for each digest. Digests that occur more
 than once feed a filter of fixed size; only rows that pass it are read with their text, and grouped by the text's
 own bytes, so a collision of digests never merges different texts.
 """
@@ -58,7 +58,7 @@ def flush_runs(digests: DataFrame, keep: str, memtable: int = MEMTABLE) -> DataF
 
 
 def compact(runs: DataFrame, keep: str) -> DataFrame:
-    """Merge runs into one, partitioned by ranges of the digest and sorted: one id and the count of each digest."""
+    """Group runs into one, hash-partitioned by digest and sorted within partitions: one id and the count of each digest."""
     best = F.max("best") if keep == "max" else F.min("best")
     merged = runs.groupBy("digest").agg(best.alias("best"), F.sum("n").alias("n"))
     return merged.sortWithinPartitions("digest")
