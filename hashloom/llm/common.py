@@ -8,9 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch at most: a batch of very long texts still fits a Python worker.
+#: Rows and bytes at most that a task takes of an Arrow batch at once (a single row may have more): very long texts still fit a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
+#: Bits of a filter for each member, and 64-bit words of a filter at most (8 MiB, so that it can be broadcast): with more members it lets more rows pass.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 20
+
 #: Column of the key that with_row_key() gives.
 ROW = "_hashloom_row"
 
@@ -27,14 +30,63 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
         base = tempfile.mkdtemp(prefix="hashloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/hashloom-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/hashloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table that the operators have written for this application: call it when all results have been read."""
+    path = shared_dir(spark, "x")
+    _delete(spark, path[: path.rindex("/")])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs nothing already written."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of materialize() that no result will read again."""
+    for df in written:
+        if path := getattr(df, "_written_to", None):
+            _delete(df.sparkSession, path)
+
+
+def sifted(rows: DataFrame, keys: list[str], members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose keys may be those of a row of members, and those whose keys surely are not.
+
+    The filter has two bits of one word for each member. It grows with their number, up to FILTER_WORDS, and is
+    broadcast; a fuller filter only makes the first part larger. members: a written table, small rows.
+    """
+    n = members.count()
+    if not n:
+        return rows.limit(0), rows
+    words = 64
+    while words < FILTER_WORDS and words * 64 < n * FILTER_BITS:
+        words *= 2
+    h, one = F.xxhash64(*keys), F.lit(1).cast("long")
+    word = F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(words - 1))
+    mask = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(63)).cast("int")))
+    table = members.select(word.alias("_hashloom_word"), mask.alias("_hashloom_mask")).groupBy("_hashloom_word").agg(F.bit_or("_hashloom_mask").alias("_hashloom_bits"))
+    table = F.broadcast(materialize(table, "filter"))
+    met = rows.withColumn("_hashloom_word", word).join(table, "_hashloom_word", "left")
+    hit = F.coalesce(F.col("_hashloom_bits").bitwiseAND(mask) == mask, F.lit(False))
+    return tuple(met.filter(x).select(*(F.col(f"`{c}`") for c in rows.columns)) for x in (hit, ~hit))
+
+
+def without(rows: DataFrame, keys: list[str], lost: DataFrame) -> DataFrame:
+    """rows whose keys are not in lost (a written table); only rows that pass lost's filter are shuffled. Null keys are not looked for."""
+    maybe, others = sifted(rows, keys, lost)
+    return others.unionByName(maybe.join(lost.select(*keys).hint("merge"), keys, "left_anti"))
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -52,12 +104,22 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def in_parts(batches):
+    """Slices of BATCH_ROWS rows and BATCH_BYTES bytes at most; they share the batch's memory."""
+    for b in batches:
+        held = [b]
+        while held:
+            b = held.pop()
+            if b.num_rows > 1 and (b.num_rows > BATCH_ROWS or b.nbytes > BATCH_BYTES):
+                half = b.num_rows // 2
+                held += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with batches bounded in rows and bytes."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over slices bounded in rows and bytes; the session's own settings stay as they are."""
+    return df.mapInArrow(lambda batches: fn(in_parts(batches)), schema)
 
 
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, texts_of
+from .common import discard, map_batches, materialize, sifted, texts_of, without
 
 #: A repeated run is deleted from this many words on, whatever its number of lines.
 MIN_WORDS = 50
@@ -43,59 +43,85 @@ def windows(counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, uid, line, digest, forward, backward) of every line of every text, split at line feeds."""
+    """(doc, uid, row, line, digest, forward, backward) of every line of every text, split at line feeds; row numbers docs' rows."""
 
     def tasks(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for doc, uid, text in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
                 lines = text.encode().split(b"\n")
-                forward, backward = windows(np.fromiter((len(x.split()) for x in lines), np.int64, len(lines)), min_words)
-                for held, new in zip(out, ([doc] * len(lines), [uid] * len(lines), range(len(lines)), [hashlib.blake2b(x, digest_size=16).digest() for x in lines], forward.tolist(), backward.tolist()), strict=True):
+                n = len(lines)
+                forward, backward = windows(np.fromiter((len(x.split()) for x in lines), np.int64, n), min_words)
+                for held, new in zip(out, ([doc] * n, [uid] * n, [row] * n, range(n), [hashlib.blake2b(x, digest_size=16).digest() for x in lines], forward.tolist(), backward.tolist()), strict=True):
                     held.extend(new)
+                row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
-    names, kinds = ["doc", "uid", "line", "digest", "forward", "backward"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    rows = map_batches(_keyed(docs).select("doc", "uid", "text"), tasks, "doc long, uid long, line long, digest binary, forward long, backward long")
-    return rows
+    names = [*_PLACE, "row", "line", "digest", "forward", "backward"]
+    kinds = [pa.binary() if c == "digest" else pa.int64() for c in names]
+    return map_batches(_keyed(docs).select(*_PLACE, "text"), tasks, ", ".join(f"{c} {'binary' if c == 'digest' else 'long'}" for c in names))
+
+
+def one_of_equal_rows(lines: DataFrame) -> DataFrame:
+    """Written lines without those of rows that repeat doc and text: only the row numbers of first lines are grouped."""
+    often = lines.filter("line = 0").groupBy(*_PLACE).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_PLACE, "first")
+    lost = lines.filter("line = 0").join(materialize(often, "often"), _PLACE).filter("row > first").select("row")
+    return without(lines, ["row"], materialize(lost, "lost"))
 
 
 def repeated(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """rows whose keys occur at more than one place, with `name`, a long in the order of the keys.
+    """Written rows whose keys occur at more than one place, with `name`, a long in the order of the keys.
 
     Partitions of the sorted keys are ranges, and monotonically_increasing_id starts higher in each, so names keep
-    the order; only keys that repeat are sorted.
+    the order; only keys that repeat are sorted, and only rows that pass their filter are joined.
     """
-    often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
+    often = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys), "often")
     named = often.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
-    return rows.join(named, keys).select(*_PLACE, "line", *keep, "name")
+    maybe, _ = sifted(rows, keys, often)
+    return materialize(maybe.join(materialize(named, "named").hint("merge"), keys).select(*_PLACE, "line", *keep, "name"), "level")
 
 
 def covered(level: DataFrame, spans: DataFrame, step: int) -> DataFrame:
-    """Of spans (doc, uid, start, length) with step <= length < 2 step, those that an earlier place begins too."""
+    """Of spans (doc, uid, start, length) with step <= length < 2 step, those that an earlier place begins too.
+
+    The first places are written before spans look theirs up, so that a common interval's spans can be dealt to several tasks.
+    """
     head = level.select(*_PLACE, F.col("line").alias("start"), F.col("name").alias("a"))
     tail = level.select(*_PLACE, F.col("line").alias("_last"), F.col("name").alias("b"))
     both = spans.join(head, [*_PLACE, "start"]).withColumn("_last", F.col("start") + F.col("length") - step).join(tail, [*_PLACE, "_last"])
     both = materialize(both.select(*_PLACE, "start", "length", "a", "b"), "intervals")
     first = both.groupBy("length", "a", "b").agg(F.min(F.struct(*_PLACE, "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return both.join(first, ["length", "a", "b"]).filter(F.struct(*_PLACE, "start") > F.col("first")).select(*_PLACE, "start", "length")
+    first = materialize(first.select("length", "a", "b", "first"), "firsts")
+    later = both.join(first.hint("merge"), ["length", "a", "b"]).filter(F.struct(*_PLACE, "start") > F.col("first")).select(*_PLACE, "start", "length")
+    later = materialize(later, "covered")
+    discard(both, first)
+    return later
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, uid, start, length): windows of lines, overlapping ones too, that have an earlier copy; earlier is by doc_id, then line."""
-    # rows that repeat doc_id and text are one document
-    lines = lines_of(docs, min_words)
-    level = materialize(repeated(lines.dropDuplicates([*_PLACE, "line"]), ["digest"], ["forward", "backward"]), "level")
+    """(doc, uid, start, length): windows of lines, overlapping ones too, that have an earlier copy; earlier is by doc_id, then line.
+
+    Rows that repeat doc_id and text are one document.
+    """
+    lines = materialize(lines_of(docs, min_words), "lines")
+    level = repeated(one_of_equal_rows(lines), ["digest"], ["forward", "backward"])
+    discard(lines)
     spans = level.select(*_PLACE, F.col("line").alias("start"), F.col("forward").alias("length")).unionByName(level.select(*_PLACE, (F.col("line") - F.col("backward") + 1).alias("start"), F.col("backward").alias("length")))
     spans = materialize(spans.filter("length > 0").distinct(), "spans")
     longest = spans.agg(F.max("length")).first()[0] or 0
-    level, step, found = level.select(*_PLACE, "line", "name"), 1, []
+    first, step, found = level, 1, []
+    level = level.select(*_PLACE, "line", "name")
     while step <= longest:
-        found.append(materialize(covered(level, spans.filter((F.col("length") >= step) & (F.col("length") < 2 * step)), step), "covered"))
+        found.append(covered(level, spans.filter((F.col("length") >= step) & (F.col("length") < 2 * step)), step))
         if 2 * step <= longest:
             ahead = level.select(*_PLACE, (F.col("line") - step).alias("line"), F.col("name").alias("b"))
             pairs = materialize(level.withColumnRenamed("name", "a").join(ahead, [*_PLACE, "line"]), "pairs")
-            level = materialize(repeated(pairs, ["a", "b"], []), "level")
+            level = repeated(pairs, ["a", "b"], [])
+            discard(pairs, first)
+            first = level
         step *= 2
     if not found:
         return spans
@@ -109,10 +135,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, deleted_lines, deleted (spans of lines, end exclusive), text (what stays).
 
     The first copy of a run, by doc_id and line, stays. Null texts come back empty, and empty texts stay as they are;
-    an empty line is a line of no words. A document may lose all its lines; its row stays, with an empty text.
+    an empty line is a line of no words. A document may lose all its lines; its row stays, with an empty text. Only
+    texts that may lose lines are shuffled to meet their spans; the others pass in one map.
     """
     runs = repeated_runs(docs, min_words).groupBy(*_PLACE).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    rows = _keyed(docs).join(materialize(runs, "runs"), _PLACE, "left").select("doc_id", "text", "spans")
+    runs = materialize(runs, "runs")
+    touched, whole = sifted(_keyed(docs), _PLACE, runs)
+    rows = touched.join(runs.hint("merge"), _PLACE, "left").select("doc_id", "text", "spans")
+    n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
 
     def tasks(batches):
         for b in batches:
@@ -134,4 +164,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "n_lines", "deleted_lines", "deleted", "text"])
 
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-    return map_batches(rows, tasks, "doc_id long, n_lines long, deleted_lines long, deleted array<struct<start:long,end:long>>, text string")
+    schema = "doc_id long, n_lines long, deleted_lines long, deleted array<struct<start:long,end:long>>, text string"
+    as_it_is = whole.select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("deleted_lines"), F.array().cast("array<struct<start:long,end:long>>").alias("deleted"), "text")
+    return map_batches(rows, tasks, schema).unionByName(as_it_is)
