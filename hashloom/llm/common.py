@@ -14,9 +14,6 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Bits of a filter for each member, and 64-bit words of a filter at most (8 MiB, so that it can be broadcast): with more members it lets more rows pass.
 FILTER_BITS, FILTER_WORDS = 16, 1 << 20
 
-#: Column of the key that with_row_key() gives.
-ROW = "_hashloom_row"
-
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below spark.checkpoint.dir (set here only where it is unset)."""
@@ -76,10 +73,10 @@ def sifted(rows: DataFrame, keys: list[str], members: DataFrame) -> tuple[DataFr
     h, one = F.xxhash64(*keys), F.lit(1).cast("long")
     word = F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(words - 1))
     mask = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(63)).cast("int")))
-    table = members.select(word.alias("_hashloom_word"), mask.alias("_hashloom_mask")).groupBy("_hashloom_word").agg(F.bit_or("_hashloom_mask").alias("_hashloom_bits"))
-    table = F.broadcast(materialize(table, "filter"))
-    met = rows.withColumn("_hashloom_word", word).join(table, "_hashloom_word", "left")
-    hit = F.coalesce(F.col("_hashloom_bits").bitwiseAND(mask) == mask, F.lit(False))
+    at, bits = unused("_word", rows.columns), unused("_bits", rows.columns)
+    table = members.select(word.alias(at), mask.alias("mask")).groupBy(at).agg(F.bit_or("mask").alias(bits))
+    met = rows.withColumn(at, word).join(F.broadcast(materialize(table, "filter")), at, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
     return tuple(met.filter(x).select(*(F.col(f"`{c}`") for c in rows.columns)) for x in (hit, ~hit))
 
 
@@ -89,14 +86,18 @@ def without(rows: DataFrame, keys: list[str], lost: DataFrame) -> DataFrame:
     return others.unionByName(maybe.join(lost.select(*keys).hint("merge"), keys, "left_anti"))
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """docs with a written number of each row, which names it whatever its doc_id: null and repeated ones do not."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def row_key(docs: DataFrame) -> list[str]:
-    """The row key's name, if docs have one: operators hand it through."""
-    return [ROW] if ROW in docs.columns else []
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a written number of each row, which names it whatever its doc_id (null and repeated ones do not), and that column's name."""
+    key = unused("_row", docs.columns)
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact deduplication with a log-structured merge index.
 
-Tasks keep a memtable of text digests and flush it as a run sorted by digest; a compaction groups all runs into
-one by digest, which keeps one identifier and a count for each digest. Digests that occur more
-than once feed a filter of fixed size; only rows that pass it are read with their text, and grouped by the text's
-own bytes, so a collision of digests never merges different texts.
+Tasks keep a memtable of text digests and flush it as a run sorted by digest. Compaction merges runs, and levels
+compacted before, into one level: a single sorted run, dealt over files by ranges of digests, with one identifier and a
+count for each digest, and with a filter of the digests that repeat. Rows ask the filter first; those that pass look
+their digest up in the level, and the identifier found there is the result once the texts behind the digest have been
+compared byte by byte. A digest behind which texts differ is split by text.
 """
 
 from __future__ import annotations
@@ -12,16 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, map_batches, materialize, row_key, texts_of, with_row_key
+from .common import map_batches, materialize, sifted, texts_of, with_row_key, without
 
-#: Entries of a memtable before it is flushed, and 64-bit words of the filter (1 MiB, whatever the input).
-MEMTABLE, FILTER_WORDS = 200_000, 1 << 17
+#: Entries of a memtable before it is flushed.
+MEMTABLE = 200_000
 
 _RUN = "run long, digest binary, best long, n long"
 
 
 def flush_runs(digests: DataFrame, keep: str, memtable: int = MEMTABLE) -> DataFrame:
-    """(doc_id, digest) -> sorted runs of (digest, best id, count); rows of one digest in one memtable are merged."""
+    """(doc_id, digest) -> sorted runs of (run, digest, best id, count); rows of one digest in one memtable are merged."""
     better = max if keep == "max" else min
 
     def flush(table: dict, run: int):
@@ -57,57 +58,61 @@ def flush_runs(digests: DataFrame, keep: str, memtable: int = MEMTABLE) -> DataF
     return map_batches(digests.select("doc_id", "digest"), tasks, _RUN)
 
 
-def compact(runs: DataFrame, keep: str) -> DataFrame:
-    """Group runs into one, hash-partitioned by digest and sorted within partitions: one id and the count of each digest."""
+def compact(runs: DataFrame, keep: str, *levels: DataFrame) -> DataFrame:
+    """One level of (digest, best, n) from runs and older levels: the merge keeps the smallest or largest identifier and adds counts.
+
+    Runs are dealt by ranges of digests and sorted there, so entries of one digest meet as neighbours and the merge
+    moves nothing again; a digest has one entry for each run at most, however many rows it has.
+    """
+    entries = runs.select("digest", "best", "n")
+    for level in levels:
+        entries = entries.unionByName(level.select("digest", "best", "n"))
     best = F.max("best") if keep == "max" else F.min("best")
-    merged = runs.groupBy("digest").agg(best.alias("best"), F.sum("n").alias("n"))
+    merged = entries.repartitionByRange("digest").sortWithinPartitions("digest").groupBy("digest").agg(best.alias("best"), F.sum("n").alias("n"))
     return merged.sortWithinPartitions("digest")
 
 
-def lookup(digests: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows of digests (doc_id, digest) with what a compacted index knows of their digest (null: nothing)."""
-    return digests.join(index.select("digest", F.col("best").alias("known_id"), F.col("n").alias("known_n")), "digest", "left")
-
-
-def _slot(digest):
-    """A digest's place in the filter: word and bit, of its xxHash."""
-    h = F.xxhash64(digest)
-    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
-
-
-def _passes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows of docs whose digest may be in repeated: the filter has FILTER_WORDS rows at most, so it can be broadcast."""
-    word, bit = _slot(F.col("digest"))
-    words = repeated.select(word.alias("_word"), F.expr("shiftleft(1L, 0)").alias("_one"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.col("_one"), F.col("_bit"))).alias("_bits"))
-    hit = F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1
-    return docs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word").filter(hit).drop("_word", "_bit", "_bits")
+def lookup(digests: DataFrame, level: DataFrame) -> DataFrame:
+    """Rows of digests with what a level knows of their digest: known_id and known_n (null: nothing)."""
+    known = level.select("digest", F.col("best").alias("known_id"), F.col("n").alias("known_n"))
+    return digests.join(known.hint("merge"), "digest", "left")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memtable: int = MEMTABLE) -> DataFrame:
-    """One row per row of docs: doc_id, digest, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memtable: int = MEMTABLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, digest, keep_id, group_size, kept, text_sha256, and the columns named by carry.
 
     Texts are equal if their bytes are; null counts as empty, and empty texts form one group. keep: min or max, of
     doc_id. Rows that repeat a doc_id are one document and share its fate, though each counts in group_size. A null
-    doc_id never wins over another. digest_bytes below 32 only serves tests of collisions.
+    doc_id never wins over another. keep_id and group_size are what the index holds for a row's digest; rows whose
+    digest occurs once are not looked up. digest_bytes below 32 only serves tests of collisions.
     """
     sha = F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
-    cut = F.substring(sha, 1, digest_bytes)
-    more = row_key(docs)
-    texts = texts_of(docs)
+    cut, more = F.substring(sha, 1, digest_bytes), carry
     digests = materialize(texts_of(docs, *more).select("doc_id", *more, sha.alias("sha")).withColumn("digest", F.substring("sha", 1, digest_bytes)), "digests")
-    runs = materialize(flush_runs(digests, keep, memtable), "runs")
-    index = materialize(compact(runs, keep), "index")
-    best = F.max("doc_id") if keep == "max" else F.min("doc_id")
-    hits = _passes(texts.withColumn("digest", cut), index.filter("n > 1").select("digest"))
-    # grouping by the text itself is the byte verification; each task sends a text once, however often it has it
-    groups = materialize(hits.groupBy("digest", "text").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha"), "best", "n"), "verified")
-    out = digests.join(groups.select("sha", "best", "n"), "sha", "left")
-    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best"))
+    level = materialize(compact(materialize(flush_runs(digests, keep, memtable), "runs"), keep), "level")
+    repeats = materialize(level.filter("n > 1"), "repeats")
+
+    # byte verification: a task sends each text that may repeat once; digests behind which texts differ are few or none
+    texts, _ = sifted(texts_of(docs, *more).select("doc_id", *more, "text", sha.alias("sha"), cut.alias("digest")), ["digest"], repeats)
+    differ = texts.select("digest", "text").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
+    differ = materialize(differ, "differ")
+
+    asking, single = sifted(digests, ["digest"], repeats)
+    told = lookup(asking, repeats).select(*digests.columns, "known_id", "known_n")
+    if not differ.isEmpty():
+        mixed = sifted(texts, ["digest"], differ)[0].join(differ.hint("merge"), "digest", "left_semi")
+        best = F.max("doc_id") if keep == "max" else F.min("doc_id")
+        by_text = mixed.groupBy("digest", "text").agg(best.alias("known_id"), F.count(F.lit(1)).alias("known_n"))
+        apart = mixed.join(materialize(by_text, "split").hint("merge"), ["digest", "text"]).select(*digests.columns, "known_id", "known_n")
+        told = without(told, ["digest"], differ).unionByName(apart)
+    nobody = F.lit(None).cast("long")
+    out = told.unionByName(single.select(*digests.columns, nobody.alias("known_id"), nobody.alias("known_n")))
+    keep_id = F.when(F.col("known_n") > 1, F.col("known_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
         "digest",
         keep_id.alias("keep_id"),
-        F.coalesce("n", F.lit(1)).alias("group_size"),
+        F.coalesce("known_n", F.lit(1)).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         *more,
@@ -117,10 +122,13 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memt
 def kept_documents(docs: DataFrame, keep: str = "min") -> DataFrame:
     """docs without the later copies of equal texts, with docs' columns; rows are chosen by their row key, not by doc_id.
 
-    Null doc_ids name no document: of a text that only such rows have, the first row stays.
+    Null doc_ids name no document: of a text that only such rows have, the first row stays. Repeated rows of the
+    chosen doc_id all stay. Only rows that may be copies are shuffled with their text.
     """
-    rows = with_row_key(docs)
-    found = exact_dedup(rows, keep)
-    named = found.filter("kept AND keep_id IS NOT NULL").select(ROW)
-    nameless = found.filter("keep_id IS NULL").groupBy("text_sha256").agg(F.min(ROW).alias(ROW)).select(ROW)
-    return rows.join(named.unionByName(nameless), ROW, "left_semi").drop(ROW)
+    rows, key = with_row_key(docs)
+    found = materialize(exact_dedup(rows, keep, carry=(key,)), "found")
+    copies = found.filter("keep_id IS NOT NULL AND NOT kept").select(key)
+    nameless = found.filter("keep_id IS NULL")
+    first = nameless.groupBy("text_sha256").agg(F.min(key).alias("_first"))
+    again = nameless.join(first.hint("merge"), "text_sha256").filter(F.col(key) > F.col("_first")).select(key)
+    return without(rows, [key], materialize(copies.unionByName(again), "copies")).drop(key)

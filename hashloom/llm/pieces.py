@@ -2,11 +2,13 @@
 
 The vocabularies used here split a text by a pattern before any merge, so a text's ids are those of its pre-tokens
 in order. For texts of ASCII and Latin letters (up to U+024F) the split is done here and the library encodes each
-distinct pre-token once; any other text goes through the library whole.
+distinct pre-token once; any other text goes through the library whole, and so does a text that holds one of the
+file's added tokens, and every text of a file that folds or splits by other rules.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -15,10 +17,22 @@ from array import array
 ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa0-ɏ]")
 #: The letters, numbers and spaces of that range.
 LETTER, NUMBER, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\xa0"
-#: The pre-token patterns of the two vocabulary files.
+#: How the two kinds of vocabulary files fold and split a text, as their own normalizer and pre-tokenizer say it.
+BYTE_RULES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+WORD_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: The pre-tokens of these two rules, in the range of ODD.
 PATTERNS = {
-    "byte_bpe_50k.json": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
-    "word_bpe_49k.json": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"),
+    "byte": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
+    "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"),
 }
 
 
@@ -70,9 +84,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        name = os.path.basename(path)
-        self.pattern, self.lower = PATTERNS.get(name), name.startswith("word")
+        spec = json.loads(self.tokenizer.to_str())
+        kind = {"byte": BYTE_RULES, "word": WORD_RULES}
+        rules = (spec["normalizer"], spec["pre_tokenizer"])
+        kind = next((k for k, known in kind.items() if known == rules and spec["model"]["type"] == "BPE"), None)
+        self.pattern, self.lower = PATTERNS.get(kind), kind == "word"
+        added = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
+        self.added = re.compile(added, re.IGNORECASE) if added else None
         self.chunk_bytes, self.known, self.model, self.alphabet = chunk_bytes, Recent(entries), self.tokenizer.model, byte_alphabet()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -83,7 +101,7 @@ class PieceEncoder:
         return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
-        usual = [self.pattern is not None and not ODD.search(t) for t in texts]
+        usual = [self.pattern is not None and not ODD.search(t) and not (self.added and self.added.search(t)) for t in texts]
         split = [self.pattern.findall(t.lower() if self.lower else t) if ok else () for t, ok in zip(texts, usual, strict=True)]
         new = self.known.missing(set().union(*split))
         self.known.update(zip(new, map(self._word, new), strict=True))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, map_batches, materialize, row_key, texts_of, with_row_key
+from .common import map_batches, materialize, texts_of, with_row_key, without
 from .components import components
 
 #: Buckets of more distinct fingerprints than this are linked by shared neighbours at one bit, not by pairs.
@@ -39,9 +39,8 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp), and docs' row key if they have one: fp is the unsigned fingerprint's 64 bits as a signed long. Null and empty texts: 0."""
-    more = row_key(docs)
+def fingerprints(docs: DataFrame, width: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp), and the long columns named by more: fp is the unsigned fingerprint's 64 bits as a signed long. Null and empty texts: 0."""
 
     def tasks(batches):
         for b in batches:
@@ -86,9 +85,9 @@ def links(distinct: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> Dat
     return pairs.unionByName(hub)
 
 
-def grouped(docs: DataFrame, radius: int = 2, width: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
-    """What near_duplicates() gives, with the component's root (a fingerprint) and docs' row key if they have one."""
-    fps = materialize(fingerprints(docs, width), "fingerprints")
+def grouped(docs: DataFrame, radius: int = 2, width: int = 3, pairwise: int = PAIRWISE, more: tuple[str, ...] = ()) -> DataFrame:
+    """What near_duplicates() gives, with the component's root (a fingerprint) and the long columns named by more."""
+    fps = materialize(fingerprints(docs, width, more), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, radius, pairwise))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -110,10 +109,13 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, pairwise:
 def one_per_group(docs: DataFrame, **how) -> DataFrame:
     """docs without those that are not the smallest doc_id of their component; rows are chosen by their row key, not by doc_id.
 
-    Null doc_ids name no document: of a component that only such rows make up, the first row stays.
+    Null doc_ids name no document: of a component that only such rows make up, the first row stays. Repeated rows of
+    the smallest doc_id all stay. Only rows that may go are shuffled with their text.
     """
-    rows = with_row_key(docs)
-    found = materialize(grouped(rows, **how), "grouped")
-    named = found.filter("doc_id = component_id").select(ROW)
-    nameless = found.filter("component_id IS NULL").groupBy("root").agg(F.min(ROW).alias(ROW)).select(ROW)
-    return rows.join(named.unionByName(nameless), ROW, "left_semi").drop(ROW)
+    rows, key = with_row_key(docs)
+    found = materialize(grouped(rows, more=(key,), **how), "grouped")
+    others = found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(key)
+    nameless = found.filter("component_id IS NULL")
+    first = nameless.groupBy("root").agg(F.min(key).alias("_first"))
+    again = nameless.join(first.hint("merge"), "root").filter(F.col(key) > F.col("_first")).select(key)
+    return without(rows, [key], materialize(others.unionByName(again), "others")).drop(key)

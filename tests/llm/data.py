@@ -2,7 +2,7 @@
 
 import random
 
-EXTRA = ["digest", "fp", "hub", "word", "number", "line", "n", "shard"]
+EXTRA = ["_dropped", "_first", "_row", "_word", "_bits", "row", "digest", "fp", "hub", "word", "number", "line", "n", "shard"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in EXTRA)
 
 
@@ -25,8 +25,8 @@ def documents(spark, rows=None):
         rows += [(2000 + i, base[50 + i] + " x") for i in range(10)]
         rows += [(3000, None), (3001, ""), (3002, " \n\t "), (3003, None), (None, base[3]), (5, base[5]), (5, base[5])]
         rows += [(3100, "\n".join(base) * 4), (3101, "line\r\nother\x0bnext x 😀 漢字 Ünïcode İ Σς '’s don't 12ab ½   y"), (3102, "a  b   c    d\t\te ▁ f")]
-    extra = [None] * len(EXTRA)
-    return spark.createDataFrame([(i, t, "en" if i is None or i % 2 else None, "s", None, *extra) for i, t in rows], SCHEMA)
+        rows += [(3103, "<|endoftext|> a <|startoftext|>b"), (3104, "é <|ENDOFTEXT|> <|endoftext |>"), (3105, "x<|endoftext|>" * 3)]
+    return spark.createDataFrame([(i, t, "en" if i is None or i % 2 else None, "s", None, *EXTRA) for i, t in rows], SCHEMA)
 
 
 def by_id(rows, key="doc_id"):

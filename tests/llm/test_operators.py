@@ -9,11 +9,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hashloom.llm import exactdedup, linededup, media, packing, sentencepieces, sharding, simhash, tokenio, toxicity, warc
 from hashloom.llm.components import components
 
-from .data import by_id, documents, texts
+from .data import EXTRA, by_id, documents, texts
 
 WORD, BYTE, PIECE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -22,7 +23,6 @@ def library(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -400,6 +400,23 @@ def test_exact(docs, rows, keep, digest_bytes):
         assert r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()
     kept = exactdedup.kept_documents(docs, keep)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
+    assert {tuple(r[c] for c in EXTRA) for r in kept.collect()} == {tuple(EXTRA)}
+
+
+def test_levels_are_compacted(spark, docs, monkeypatch):
+    """Two levels merge into the one that all runs give; the identifier that the index holds is the result."""
+    rows = docs.selectExpr("doc_id", "unhex(sha2(coalesce(text, ''), 256)) AS digest")
+    runs = [exactdedup.flush_runs(rows.filter(part), "min", 30) for part in ("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id IS NULL")]
+    old = exactdedup.compact(runs[0], "min")
+    both = exactdedup.compact(runs[1], "min", old)
+    once = exactdedup.compact(exactdedup.flush_runs(rows, "min"), "min")
+    told = lambda df: {bytes(r.digest): (r.best, r.n) for r in df.collect()}
+    assert told(both) == told(once) and max(n for _, n in told(once).values()) > 1
+    found = exactdedup.lookup(rows, both).collect()
+    assert len(found) == rows.count() and all((r.known_id, r.known_n) == told(once)[bytes(r.digest)] for r in found)
+    plain = exactdedup.compact
+    monkeypatch.setattr(exactdedup, "compact", lambda *a: plain(*a).withColumn("best", F.lit(-7).cast("long")))
+    assert {r.keep_id for r in exactdedup.exact_dedup(docs).collect() if r.group_size > 1} == {-7}
 
 
 def test_exact_empty(none):
