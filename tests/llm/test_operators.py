@@ -265,8 +265,9 @@ def test_token_files_empty(none):
 # 6: sharding
 
 
-def test_sharding(docs, rows):
-    got = sharding.assign(docs, 4).collect()
+@pytest.mark.parametrize("large", [sharding.LARGE, 40])
+def test_sharding(docs, rows, large):
+    got = sharding.assign(docs, 4, large=large).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in rows)
     load, slots = Counter(), defaultdict(list)
     for r in got:
@@ -277,17 +278,51 @@ def test_sharding(docs, rows):
     for s in slots.values():
         assert sorted(s) == list(range(len(s)))
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    home = defaultdict(Counter)
+    for r in got:
+        home[r.text_crc32, r.size][r.shard] += 1
+    assert sum(r.cut for r in got) == sum(c.total() - max(c.values()) for c in home.values())
 
 
-def test_sharding_moves_groups_together(spark):
+@pytest.mark.parametrize("large", [sharding.LARGE, 100])
+def test_sharding_moves_groups_together(spark, large):
     base = texts(21, 300)
     docs = documents(spark, [(i, base[i % 300]) for i in range(2400)])
-    got = sharding.assign(docs, 4).collect()
+    got = sharding.assign(docs, 4, large=large).collect()
     load = Counter()
     for r in got:
         load[r.shard] += r.size
     assert max(load.values()) / min(load.values()) < 1.02
-    assert sum(r.cut for r in got) < 0.35 * len(got)  # hashing alone leaves about 0.7
+    assert sum(r.cut for r in got) < 0.02 * len(got)  # hashing alone leaves about 0.7
+    other = sharding.assign(docs.repartition(7, "text"), 4, large=large).collect()
+    assert {(r.doc_id, r.shard) for r in got} == {(r.doc_id, r.shard) for r in other}
+
+
+def fewest_cut(sizes, group, shards, most):
+    """Fewest documents away from their group's commonest shard, of all placements with no shard above `most`."""
+    best = len(sizes)
+    for place in itertools.product(range(shards), repeat=len(sizes)):
+        load, home = Counter(), defaultdict(Counter)
+        for s, g, k in zip(sizes, group, place, strict=True):
+            load[k] += s
+            home[g][k] += 1
+        if max(load.values()) <= most:
+            best = min(best, sum(c.total() - max(c.values()) for c in home.values()))
+    return best
+
+
+def test_sharding_against_all_placements(spark):
+    rng, cut, least = random.Random(12), 0, 0
+    for _ in range(6):
+        kinds = [chr(97 + k) * rng.randint(20, 60) for k in range(4)]
+        data = [(i, kinds[k]) for i, k in enumerate([0, 0, 0, 1, 1, 2, 2, 3])]
+        got = sharding.assign(documents(spark, data), 2).collect()
+        load = Counter()
+        for r in got:
+            load[r.shard] += r.size
+        cut += sum(r.cut for r in got)
+        least += fewest_cut([len(t) + 1 for _, t in data], [t for _, t in data], 2, max(load.values()))
+    assert cut <= least + 3
 
 
 def test_sharding_empty(none):
