@@ -116,6 +116,7 @@ def check_packing(got, source, ids_of, capacity):
 def test_packing(docs, rows):
     got = packing.pack(docs, WORD, 256).collect()
     n = check_packing(got, rows, library(WORD), 256)
+    assert {(r.sequences, r.bound <= n) for r in got} == {(n, True)}
     assert n <= -(-sum(r.length for r in got) // 256) + 1
 
 
@@ -142,19 +143,43 @@ def fewest(sizes, capacity):
     return best
 
 
-def test_bin_completion_against_brute_force():
+def used(plan, capacity):
+    out = Counter()
+    for times, held in plan:
+        assert sum(k * n for k, n in held.items()) <= capacity
+        for k, n in held.items():
+            out[k] += times * n
+    return out
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_bin_completion_against_brute_force(exact):
     rng = random.Random(5)
+    how = {"best": None, "filling_steps": None, "steps": None} if exact else {}
     for _ in range(60):
         capacity = rng.choice([10, 17, 30])
         sizes = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
-        plan = packing.bin_completion(dict(Counter(sizes)), capacity)
-        used = Counter()
-        for times, held in plan:
-            assert sum(k * n for k, n in held.items()) <= capacity
-            for k, n in held.items():
-                used[k] += times * n
-        assert used == Counter(sizes)
-        assert sum(t for t, _ in plan) == fewest(sizes, capacity)
+        plan = packing.bin_completion(dict(Counter(sizes)), capacity, **how)
+        assert used(plan, capacity) == Counter(sizes)
+        least = fewest(sizes, capacity)
+        assert packing.lower_bound(dict(Counter(sizes)), capacity) <= least == sum(t for t, _ in plan)
+
+
+def test_bin_completion_betters_best_fit():
+    rng, gained = random.Random(1), 0
+    for _ in range(30):
+        capacity = rng.choice([100, 150, 1000])
+        counts = Counter(rng.randint(capacity // 8, capacity // 2) for _ in range(rng.randint(20, 80)))
+        plan, first, bound = packing.bin_completion(dict(counts), capacity), packing.best_fit(dict(counts), capacity), packing.lower_bound(dict(counts), capacity)
+        assert used(plan, capacity) == used(first, capacity) == counts
+        now, before = sum(n for n, _ in plan), sum(n for n, _ in first)
+        assert bound <= now <= before
+        gained += before - now
+        if before > bound:  # here the search proves what it finds
+            assert now == bound
+    assert gained > 10
+    # all items over half a bin: the bound knows that none shares one
+    assert packing.lower_bound({60: 50, 30: 10}, 100) == 50
 
 
 # 3: media
