@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accented Latin letters and what they become.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -19,6 +23,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def plain_words(text: Column) -> Column:
+    """Runs of ASCII letters, digits and underscores, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
+
+
+def whole_words(text: Column) -> Column:
+    """Runs of a-z and 0-9 between word breaks: one beside any other letter, mark, digit or underscore is none."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{M}\\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z0-9]+$"))
+
+
+@F.pandas_udf(StringType())
+def _unaccented(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")))
+
+
+def unaccented(text: Column) -> Column:
+    """Letters without their marks, whatever the alphabet; null stays null."""
+    return _unaccented(text)
+
+
 def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), "_"))).otherwise(F.array().cast("array<string>"))
 
@@ -32,8 +56,3 @@ def sentences(text: Column, least: int = 3) -> Column:
     parts = F.transform(F.split(F.regexp_replace(text, "([.!?])", "$1\n"), "\n"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= least)
 
-
-def entropy_of_counts(counts: Column) -> Column:
-    """Bits per symbol of an array of counts."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
-    return F.aggregate(counts, F.lit(0.0), lambda a, c: a - (c / total) * F.log2(c / total))

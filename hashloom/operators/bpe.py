@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Bytes that the rolling hash sees: its low bits depend on no more.
 WINDOW = 16
@@ -14,17 +15,23 @@ WINDOW = 16
 def byte_entropy(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_bytes, entropy): Shannon bits per byte of each text; empty texts 0."""
 
-    @F.pandas_udf("struct<n_bytes: long, entropy: double>")
-    def measured(t: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in t.fillna(""):
-            data = np.frombuffer(x.encode(), np.uint8)
-            c = np.bincount(data, minlength=1)
-            p = c[c > 0] / max(1, len(data))
-            out.append((len(data), float(-(p * np.log2(p)).sum())))
-        return pd.DataFrame(out, columns=["n_bytes", "entropy"])
+    data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    return docs.select(key, F.octet_length(data).cast("long").alias("n_bytes"), entropy(data).alias("entropy"))
+
 
-    return docs.select(key, measured(text).alias("_m")).select(key, "_m.*")
+@F.pandas_udf(DoubleType())
+def _entropy(data: pd.Series) -> pd.Series:
+    out = []
+    for x in data:
+        c = np.bincount(np.frombuffer(x or b"", np.uint8), minlength=1)
+        p = c[c > 0] / max(1, c.sum())
+        out.append(float(-(p * np.log2(p)).sum()))
+    return pd.Series(out, dtype="float64")
+
+
+def entropy(data: Column) -> Column:
+    """Shannon bits per byte; empty and null: 0."""
+    return _entropy(data)
 
 
 def gear() -> np.ndarray:
@@ -53,7 +60,36 @@ def cut_points(data: bytes, target: int) -> list[int]:
     return ends
 
 
-def content_chunks(docs: DataFrame, key: str, text: str, target: int) -> DataFrame:
+#: The multiplier of the polynomial hash and the bytes it covers.
+BASE, COVERED = 1099511628211, 8
+
+
+def rabin_cuts(data: bytes, target: int) -> list[int]:
+    """Ends of chunks: where the polynomial hash of the last eight bytes is a multiple of target; a quarter to twice the target long.
+
+    The hash covers bytes of the chunk at hand only, and is looked at once a chunk has a quarter of the target and
+    eight bytes. A text of a quarter or less is one chunk.
+    """
+    n, least, most = len(data), target // 4, 2 * target
+    if n <= least:
+        return [n] if n else []
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    h = np.zeros(max(0, n - COVERED + 1), np.uint64)  # of the bytes from i on
+    for k in range(COVERED if len(h) else 0):
+        h = h * np.uint64(BASE) + b[k : k + len(h)]
+    places = np.flatnonzero(h % np.uint64(target) == 0) + COVERED - 1  # of the last byte
+    ends, start = [], 0
+    while start < n:
+        # the hash of a whole window is the same wherever the chunk began, once the window lies inside it
+        k = np.searchsorted(places, start + max(least, COVERED))
+        at = int(places[k]) if k < len(places) else n
+        end = min(at + 1 if at - start < most else start + most, n)
+        ends.append(end)
+        start = end
+    return ends
+
+
+def content_chunks(docs: DataFrame, key: str, text: str, target: int, cuts=cut_points) -> DataFrame:
     """(key, chunk_no, off, size, digest): chunks that an insertion moves but does not change, but for those around it."""
     if target & (target - 1):
         raise ValueError("target must be a power of two")
@@ -62,7 +98,7 @@ def content_chunks(docs: DataFrame, key: str, text: str, target: int) -> DataFra
     def spans(t: pd.Series) -> pd.Series:
         out = []
         for x in t.fillna(""):
-            ends = cut_points(x.encode(), target)
+            ends = cuts(x.encode(), target)
             out.append([{"off": a, "size": b - a} for a, b in zip([0, *ends[:-1]], ends, strict=True)])
         return pd.Series(out)
 

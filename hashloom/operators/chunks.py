@@ -100,6 +100,14 @@ def xor(a: Column, b: Column) -> Column:
     return F.when(F.length(a) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length(a) - 1), one), "")).otherwise(F.lit(""))
 
 
+def leaf_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, idx) of leaves (key, idx, hash) that differ; every leaf of either side where their numbers of leaves differ."""
+    both = a.select(key, "idx", F.col("hash").alias("_a")).join(b.select(key, "idx", F.col("hash").alias("_b")), [key, "idx"], "full")
+    # a leaf that one side lacks tells that the numbers differ
+    uneven = both.filter("_a IS NULL OR _b IS NULL").select(key).distinct().withColumn("_all", F.lit(True))
+    return both.join(uneven, key, "left").filter("_all OR NOT _a <=> _b").select(key, "idx")
+
+
 def merkle_root(leaves: DataFrame, key: str) -> DataFrame:
     """(key, root, leaves): SHA-256 of pairs, level by level; an odd last node pairs with itself. leaves: (key, idx, hash hex).
 

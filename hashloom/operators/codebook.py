@@ -8,10 +8,10 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import bucket16
+from .chunks import bucket16, xor
 
 
 def words(data: Column) -> Column:
@@ -41,9 +41,13 @@ def _best(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest_linear(queries: DataFrame, book: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, distance): of each query (keys, data) the nearest codeword, the smallest id of equals. Minima are partial before the shuffle."""
-    q = queries.select(*keys, words(F.col("data")).alias("_w"))
-    return _best(q.crossJoin(F.broadcast(book.select("id", words(F.col("data")).alias("_b")))), keys)
+    """(keys, id, distance): of each query (keys, data) the nearest codeword, the smallest id of equals.
+
+    Equal data are searched once, and their codeword is joined back. Minima are partial before the shuffle.
+    """
+    q = queries.select("data").distinct().select("data", words(F.col("data")).alias("_w"))
+    found = _best(q.crossJoin(F.broadcast(book.select("id", words(F.col("data")).alias("_b")))), ["data"])
+    return queries.select(*keys, "data").join(found, "data").select(*keys, "id", "distance")
 
 
 def nearest_bucketed(queries: DataFrame, book: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,10 +61,50 @@ def nearest_bucketed(queries: DataFrame, book: DataFrame, keys: list[str]) -> Da
 
 def nearest_tiered(queries: DataFrame, tiers: list[DataFrame], keys: list[str], bits: int) -> DataFrame:
     """(keys, tier, id, distance) from the first codebook whose nearest codeword is within half the bits; if none is, the nearest of all."""
-    found = [nearest_linear(queries, t, keys).withColumn("tier", F.lit(k).cast("long")) for k, t in enumerate(tiers)]
-    near = F.col("distance") * 2 <= bits
-    rank = F.struct(F.when(near, F.col("tier")).otherwise(len(tiers)).alias("first"), F.when(near, 0).otherwise(F.col("distance")).alias("far"), "tier", "id", "distance")
-    return reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.min(rank).alias("m")).select(*keys, "m.tier", "m.id", "m.distance")
+    left, near, far = queries.select("data").distinct(), [], []
+    for k, t in enumerate(tiers):  # a tier is searched only for data that no tier before it has near enough
+        found = nearest_linear(left, t, ["data"]).withColumn("tier", F.lit(k).cast("long"))
+        near.append(found.filter(F.col("distance") * 2 <= bits))
+        far.append(found.filter(F.col("distance") * 2 > bits))
+        left = far[-1].select("data")
+    # what is left has met all tiers
+    every = reduce(DataFrame.unionByName, far).join(left, "data", "left_semi")
+    nearest = every.groupBy("data").agg(F.min(F.struct("distance", "tier", "id")).alias("m")).select("data", "m.tier", "m.id", "m.distance")
+    told = reduce(DataFrame.unionByName, [x.select("data", "tier", "id", "distance") for x in near], nearest)
+    return queries.select(*keys, "data").join(told, "data").select(*keys, "tier", "id", "distance")
+
+
+def packed(rows: DataFrame, book: DataFrame, keys: list[str], worth: float = 0.2, sure: float = 0.95) -> DataFrame:
+    """rows (keys, data) with decision, id, distance and stored: against the nearest codeword of a chunk's 16-bit bucket a chunk
+    is a `hit` above the similarity `sure`, a `delta` (its XOR with the codeword) above `worth`, else a `literal`, stored as it is.
+
+    A chunk that repeats is searched once. A codebook has few codewords in a bucket, so no chunk meets many.
+    """
+    distinct = rows.groupBy("data").agg(F.count(F.lit(1)).alias("_n")).select("data", bucket16(F.col("data")).alias("_bucket"))
+    b = F.broadcast(book.select(bucket16(F.col("data")).alias("_bucket"), "id", F.col("data").alias("_pattern")))
+    far = words_distance(words(F.col("data")), words(F.col("_pattern")))
+    near = distinct.join(b, "_bucket", "left").groupBy("data").agg(F.min(F.struct(far.alias("distance"), "id", "_pattern")).alias("m"))
+    alike = similarity(F.col("m.distance"), 8 * F.length("data"))
+    decision = F.when(F.col("m.id").isNull() | (alike <= worth), "literal").when(alike > sure, "hit").otherwise("delta")
+    told = near.select("data", decision.alias("decision"), "m.id", "m.distance", F.col("m._pattern").alias("_pattern"))
+    stored = F.when(F.col("decision") == "literal", F.col("data")).otherwise(F.unhex(xor(F.col("data"), F.col("_pattern"))))
+    told = told.select("data", "decision", F.when(F.col("decision") != "literal", F.col("id")).alias("id"), "distance", stored.alias("stored"))
+    return rows.join(told, "data").select(*keys, "data", "decision", "id", "distance", "stored")
+
+
+def rebuilt(stored: DataFrame, book: DataFrame) -> DataFrame:
+    """stored (.., decision, id, stored) with the data again, from the stored bytes and the codebook."""
+    b = F.broadcast(book.select("id", F.col("data").alias("_pattern")))
+    data = F.when(F.col("decision") == "literal", F.col("stored")).otherwise(F.unhex(xor(F.col("stored"), F.col("_pattern"))))
+    return stored.join(b, "id", "left").withColumn("data", data).drop("_pattern")
+
+
+def priority_merge(old: DataFrame, new: DataFrame, most: int) -> DataFrame:
+    """(place, old, n, data): the patterns of old by falling count, then those of new that old lacks, `most` in all (a codebook's size)."""
+    both = old.select("data", "n", F.lit(True).alias("old")).unionByName(new.join(old.select("data"), "data", "left_anti").select("data", "n", F.lit(False).alias("old")))
+    top = both.orderBy(F.desc("old"), F.desc("n"), "data").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("old"), F.desc("n"), "data")) - 1
+    return top.select(place.cast("long").alias("place"), "old", "n", "data")
 
 
 def tier_id(tier: Column, id_col: Column) -> Column:

@@ -16,6 +16,8 @@ from hashloom.functions.text import sentences
 MASK_WORD, MASK, FLOOR, BOUND = "[MASK]", 0, 1e-10, 5.0
 #: Weights in a row of the table that workers' results are averaged in.
 SLOT = 4096
+#: Sentences that are masked and shuffled together, and sentences of a worker's share about.
+GROUP, SHARE = 1024, 100_000
 
 
 @dataclass(frozen=True)
@@ -96,24 +98,38 @@ def masked_windows(words: list, index: dict, shape: Shape, rng: np.random.Genera
     return np.concatenate(seen)[order], np.concatenate(target)[order]
 
 
-def train(rows: DataFrame, words: list[str], epochs: int, shape: Shape = Shape(), workers: int = 8, whole: bool = False) -> tuple[dict[str, np.ndarray], list[tuple[int, float, int]]]:
+def in_groups(frames, size: int):
+    """Lists of `size` sentences, however the batches they come in are cut; the last list may be shorter."""
+    held: list = []
+    for f in frames:
+        held += list(f["words"])
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+    if held:
+        yield held
+
+
+def train(rows: DataFrame, words: list[str], epochs: int, shape: Shape = Shape(), workers: int | None = None, whole: bool = False) -> tuple[dict[str, np.ndarray], list[tuple[int, float, int]]]:
     """Weights, and (epoch, mean loss, masked places) of each epoch; no rows: the first weights and losses of 0.
 
     Each epoch every worker starts from the same weights and steps through its own share of all sentences; the results
     are averaged, each by its number of places. The rate falls along a cosine to a tenth. Only averages reach the driver:
-    as many numbers as the model has. A worker's share, its masks and its order depend on the sentences and the epoch alone.
+    as many numbers as the model has. There are eight workers, or one for each SHARE sentences if those are more. A worker's
+    share, its masks and its order depend on the sentences and the epoch alone, not on how Arrow cuts them into batches.
     """
     index = {x: i for i, x in enumerate(words) if i != MASK}
     w, told = started(len(words), shape), []
     names, sizes = list(w), [v.shape for v in w.values()]
+    workers = workers or max(8, -(-rows.count() // SHARE))
     dealt = rows.repartition(workers, "sentence").sortWithinPartitions("sentence").persist()
 
     def learnt(start: dict, epoch: int, rate: float):
         def run(frames):
             own, total, n = {k: v.copy() for k, v in start.items()}, 0.0, 0
-            for f in frames:
-                rng = np.random.default_rng([epoch, zlib.crc32(" ".join(f["words"].iloc[0]).encode()) if len(f) else 0])
-                seen, target = masked_windows(f["words"], index, shape, rng, whole)
+            for k, group in enumerate(in_groups(frames, GROUP)):
+                rng = np.random.default_rng([epoch, k, zlib.crc32(" ".join(group[0]).encode())])
+                seen, target = masked_windows(group, index, shape, rng, whole)
                 for i in range(0, len(target), shape.batch):
                     loss, g = gradients(own, seen[i : i + shape.batch], target[i : i + shape.batch])
                     total += loss

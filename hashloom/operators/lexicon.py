@@ -9,8 +9,16 @@ from hashloom.functions.text import tokens
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf)."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, token, tf) of docs that have one row for each key: counted inside the row, nothing is shuffled.
+
+    Sorted tokens lie in runs, so a token's count is the distance to the next run's start.
+    """
+    rows = docs.select(key, F.sort_array(tokens(F.col(text))).alias("_t"))
+    # places where a run starts, and the end
+    first = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+    starts = rows.select(key, "_t", F.concat(first, F.array(F.size("_t"))).alias("_s"))
+    runs = F.transform(F.slice("_s", F.lit(1), F.size("_s") - 1), lambda s, i: F.struct(F.get("_t", s).alias("token"), (F.get("_s", i + 1) - s).cast("long").alias("tf")))
+    return starts.select(key, F.inline(runs))
 
 
 def inverse_frequency(terms: DataFrame, key: str, n_docs: DataFrame) -> DataFrame:

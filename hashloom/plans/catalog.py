@@ -1,11 +1,11 @@
 """The queries of the library's own operators, with their SQL."""
 
-from . import codes, texts, vectors
+from . import codes, content, dialogue, texts, vectors
 
 
 def queries() -> dict:
-    return vectors.QUERIES | texts.QUERIES | codes.QUERIES
+    return vectors.QUERIES | texts.QUERIES | codes.QUERIES | dialogue.QUERIES | content.QUERIES
 
 
 def oracle_sql() -> dict:
-    return vectors.SQL | texts.SQL | codes.SQL
+    return vectors.SQL | texts.SQL | codes.SQL | dialogue.SQL | content.SQL

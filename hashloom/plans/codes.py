@@ -74,14 +74,14 @@ def edit_delta_roundtrip(spark, sf_dir):
     return rows.select(*_KEYS, F.md5(F.hex("back")).alias("chunk_md5"), (F.col("back") == F.col("data")).alias("same"))
 
 
-@query(f"WITH {fixed_sql(128)} SELECT md5(hex) AS chunk_md5, count(*) AS n, 1::BIGINT AS sealed_forms, true AS whole FROM c GROUP BY hex")
+@query(f"WITH {fixed_sql(128)} SELECT md5(hex) AS chunk_md5, count(*) AS n, 1::BIGINT AS sealed_forms, length(hex) // 2 + 28 AS sealed_bytes, true AS whole FROM c GROUP BY hex")
 def convergent_seal(spark, sf_dir):
     """Chunks sealed under keys of their own content: equal chunks have one sealed form, and each opens again."""
     secret = b"a secret that both peers know"
     c = chunks.fixed(documents(spark, sf_dir), "doc_id", "text", 128).select("data", codebook.seal(F.col("data"), secret).alias("sealed"))
     back = codebook.unseal(F.col("sealed"), F.unhex(F.sha2("data", 256)), secret)
     forms = c.groupBy("data", "sealed").agg(F.count(F.lit(1)).alias("n"), F.bool_and(back == F.col("data")).alias("whole"))
-    return forms.groupBy("data").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sealed_forms"), F.bool_and("whole").alias("whole")).select(F.md5(F.hex("data")).alias("chunk_md5"), "n", "sealed_forms", "whole")
+    return forms.groupBy("data").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sealed_forms"), F.max(F.length("sealed")).cast("long").alias("sealed_bytes"), F.bool_and("whole").alias("whole")).select(F.md5(F.hex("data")).alias("chunk_md5"), "n", "sealed_forms", "sealed_bytes", "whole")
 
 
 def _components(spark, sf_dir, count):

@@ -68,3 +68,54 @@ def unsigned(column: Column) -> Column:
 
 def write_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def centre(model: DataFrame) -> list[float] | None:
+    """The centroid of a stored matrix, if it has one: as many numbers as a vector has."""
+    found = model.select("centroide").first()
+    return found["centroide"] if found else None
+
+
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON rows below a path, or no rows where there is nothing: what depends on them is then switched off."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(conf).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Vocabulary, matrices, thresholds or data sets as JSON rows; what was there is replaced."""
+    rows.write.mode("overwrite").json(path)
+
+
+#: The columns of a test report.
+GAUNTLET = ["ID", "Tipo", "Descricao", "Distancia_Hamming", "Confianca", "Status", "Latencia_ns"]
+
+
+def write_gauntlet(rows: DataFrame, path: str) -> None:
+    """rows (id, kind, description, distance, confidence, status, ns) as a report."""
+    write_report(rows.toDF(*GAUNTLET), path)
+
+
+#: The first bytes of a codebook file, its version, and where its patterns begin at least.
+CODEBOOK, VERSION, START = b"CBK1", 1, 512
+
+
+def codebook_bytes(patterns: list[bytes]) -> bytes:
+    """A codebook file: head (magic, version, size of a pattern, their number, where they begin), then patterns of one size."""
+    size = len(patterns[0]) if patterns else 1
+    head = CODEBOOK + b"".join(x.to_bytes(4, "little") for x in (VERSION, size, len(patterns), START))
+    return head.ljust(START, b"\0") + b"".join(patterns)
+
+
+def read_codebook(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id, data) of codebook files; a wrong head or a file that is cut off is an error. One row of a file's bytes is a codebook: of bounded size."""
+    raw = files(spark, path) if not path.endswith(".bin") else spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    number = lambda at: F.conv(F.concat(*(F.hex(F.substring("content", at + k, 1)) for k in (3, 2, 1, 0))), 16, 10).cast("long")
+    head = raw.select("path", "length", "content", (F.substring("content", 1, 4) == F.lit(CODEBOOK)).alias("known"), number(5).alias("version"), number(9).alias("size"), number(13).alias("n"), number(17).alias("start"))
+    fits = F.col("known") & (F.col("version") == VERSION) & (F.col("size") > 0) & (F.col("start") >= START) & (F.col("length") >= F.col("start") + F.col("size") * F.col("n"))
+    checked = head.withColumn("content", F.when(fits, F.col("content")).otherwise(F.raise_error(F.lit("not a codebook, or it is cut off")).cast("binary")))
+    rows = checked.filter("n > 0").select("path", "content", "size", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("id"))
+    return rows.select("path", "id", F.substr("content", (F.col("start") + F.col("id") * F.col("size") + 1).cast("int"), F.col("size").cast("int")).alias("data"))

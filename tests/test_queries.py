@@ -1,12 +1,13 @@
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from hashloom.plans import catalog
 
-TABLES = "events documents embeddings pages benchmark conversations".split()
+TABLES = "events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,8 @@ def duck(sf):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return list(df.columns), sorted(tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False))
+    told = lambda x: "null" if x is None or pd.api.types.is_scalar(x) and pd.isna(x) else f"{x:.12g}" if isinstance(x, (float, int)) and not isinstance(x, bool) else str(x)
+    return list(df.columns), sorted(tuple(map(told, r)) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
@@ -31,3 +33,8 @@ def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(re.fullmatch(r"\w+", n) for n in entry.queries())
+
+
+def test_null_marks():
+    """rows() writes every kind of missing value alike."""
+    assert rows(pd.DataFrame({"a": [1.0, None]}))[1] == rows(pd.DataFrame({"a": pd.array([1, None], dtype="Float64")}))[1]
