@@ -88,9 +88,10 @@ class PieceEncoder:
         kind = {"byte": BYTE_RULES, "word": WORD_RULES}
         rules = (spec["normalizer"], spec["pre_tokenizer"])
         kind = next((k for k, known in kind.items() if known == rules and spec["model"]["type"] == "BPE"), None)
-        self.pattern, self.lower = PATTERNS.get(kind), kind == "word"
-        added = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
-        self.added = re.compile(added, re.IGNORECASE) if added else None
+        # added tokens that are looked for in a text as it is can be looked for here too; with others, every text goes whole
+        plain = not any(t[x] for t in spec["added_tokens"] for x in ("normalized", "single_word"))
+        self.pattern, self.lower = PATTERNS.get(kind) if plain else None, kind == "word"
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.chunk_bytes, self.known, self.model, self.alphabet = chunk_bytes, Recent(entries), self.tokenizer.model, byte_alphabet()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -101,7 +102,7 @@ class PieceEncoder:
         return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
-        usual = [self.pattern is not None and not ODD.search(t) and not (self.added and self.added.search(t)) for t in texts]
+        usual = [self.pattern is not None and not ODD.search(t) and not any(a in t for a in self.added) for t in texts]
         split = [self.pattern.findall(t.lower() if self.lower else t) if ok else () for t, ok in zip(texts, usual, strict=True)]
         new = self.known.missing(set().union(*split))
         self.known.update(zip(new, map(self._word, new), strict=True))
