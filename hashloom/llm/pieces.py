@@ -63,17 +63,13 @@ class Recent(dict):
 
     def missing(self, keys) -> list:
         """The keys that are not known; afterwards those set aside are at hand again."""
-        new = []
         if len(self) >= self.entries:
             self.aside = dict(self)
             self.clear()
-        for k in keys:
-            if k not in self:
-                if (old := self.aside.get(k)) is None:
-                    new.append(k)
-                else:
-                    self[k] = old
-        return new
+        new = set(keys).difference(self)
+        again = new.intersection(self.aside)
+        self.update((k, self.aside[k]) for k in again)
+        return list(new - again)
 
 
 class PieceEncoder:

@@ -92,20 +92,71 @@ class SharedPrefixes:
         return out
 
 
+#: Fields of the model file's messages (the trainer's part and the kind of model in it; the normalizer's part, its table
+#: and whether it drops white space) and the kinds there are.
+TRAINER, KIND, KINDS = 2, 3, {1: "unigram", 2: "merges", 3: "words", 4: "characters"}
+NORMALIZER, TABLE, DROPS = 3, 2, 4
+
+
+def _fields(data: bytes):
+    """(number, value) of each field of a serialized message: numbers as they are, parts as bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7)
+            size = number() if size is None else size
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def model_kind(model: bytes) -> str:
+    """unigram, merges, words or characters: what the file's trainer made (a file that does not say is unigram)."""
+    trainer = next((v for k, v in _fields(model) if k == TRAINER), b"")
+    return KINDS.get(next((v for k, v in _fields(trainer) if k == KIND), 1), "unknown")
+
+
+def changes_text(model: bytes) -> bool:
+    """Whether the file's normalizer has a table of characters, or drops white space (it does unless it says otherwise)."""
+    rules = dict(_fields(next((v for k, v in _fields(model) if k == NORMALIZER), b"")))
+    return bool(rules.get(TABLE)) or bool(rules.get(DROPS, 1))
+
+
 class MarkedEncoder:
-    """Whole texts to packed ids, and back, with a SentencePiece model file's vocabulary."""
+    """Whole texts to packed ids, and back, with a SentencePiece model file's vocabulary, of merges or unigram."""
 
     def __init__(self, model_file: str, entries: int = 300_000, chunk_chars: int = 4 << 20):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=model_file)
+        kind = model_kind(sp.serialized_model_proto())
+        if kind not in ("unigram", "merges"):
+            raise ValueError(f"a vocabulary of {kind} is not read here")
+        if changes_text(sp.serialized_model_proto()):
+            raise ValueError("a vocabulary whose normalizer changes texts is not read here")
         every = range(sp.get_piece_size())
         kinds = {i: sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) for i in every}
         self.ids = {sp.id_to_piece(i): i for i in every if not kinds[i]}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece has a mark behind another character")
         self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in every if sp.is_byte(i)}
-        self.trie = SharedPrefixes({p: sp.get_score(i) for p, i in self.ids.items()})
+        if len(self.bytes) != 256:
+            raise ValueError("a vocabulary without pieces for all bytes is not read here")
+        self.trie = SharedPrefixes({p: sp.get_score(i) for p, i in self.ids.items()}, unigram=kind == "unigram")
         self.plain = [p.replace(MARK, " ").encode() for p in map(sp.id_to_piece, every)]
         for i in every:
             if sp.is_byte(i):
@@ -131,8 +182,8 @@ class MarkedEncoder:
         split = [self.words.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
         new = self.known.missing(set().union(*split))
         # marks of equal score merge from the left, which a prefix alone cannot tell: few distinct words begin with two
-        double = [w for w in new if w.startswith(MARK * 2)]
-        single = sorted(w for w in new if not w.startswith(MARK * 2))
+        double = [w for w in new if w.startswith(MARK * 2) and not self.trie.unigram]
+        single = sorted(w for w in new if self.trie.unigram or not w.startswith(MARK * 2))
         for group, pieces in ((double, [merge(w, self.trie.scores) for w in double]), (single, self.trie.segment(single))):
             self.known.update(zip(group, map(self._pack, pieces), strict=True))
         get = self.known.__getitem__

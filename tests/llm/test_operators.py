@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -209,6 +210,55 @@ def test_media_boxes():
         list(media.boxes(data[:-3]))
 
 
+def test_media_stored_form(spark):
+    data = ["", "x" * 64, "é" * 700, "line\n" * 900]
+    got = media.media_columns(documents(spark, list(enumerate(data)) + [(9, data[3])]))
+    rows = {r.doc_id: r for r in got.withColumn("feature", media.feature(got)).collect()}
+    for i, t in enumerate(data):
+        payload = media.payload_of(t)
+        stored = media.media_file(payload)
+        at = stored.index(payload)
+        n = len(payload) // 64
+        keys = [(at + 64 * k, at + 64 * k + 64) for k in range(0, n, 16)]
+        r = rows[i]
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert [(k.start, k.end) for k in r.keyframes] == keys
+        spans = hashlib.sha1(",".join(f"{a}-{b}" for a, b in keys).encode()).hexdigest()
+        assert r.feature == f"raw;8000;{len(payload)};{n};{len(keys)};{spans}"
+    assert rows[9].feature == rows[3].feature and rows[9].media_sha256 == rows[3].media_sha256
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_media_of_other_writers(wide):
+    """Version 0 headers, samples of unequal sizes, chunks apart from each other, several runs, 64-bit places, no sync table."""
+    sizes, chunks = [3, 5, 2, 7, 1, 4], [1, 1, 2, 2]
+    head = media.box(b"ftyp", b"isom", bytes(4))
+    body, places, parts, k, at = b"", [], [], 0, len(head) + 8
+    for n in chunks:
+        body += b"-" * 11
+        places.append(at + len(body))
+        for _ in range(n):
+            parts.append((at + len(body), sizes[k]))
+            body += bytes([65 + k]) * sizes[k]
+            k += 1
+    runs = [(1, 1, 1), (3, 2, 1)]
+    table = media.box(
+        b"stbl",
+        media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(6))),
+        media.full(b"stts", struct.pack(">IIIII", 2, 2, 10, 4, 20)),
+        media.full(b"stsc", struct.pack(">I", 2), *(struct.pack(">III", *r) for r in runs)),
+        media.full(b"stsz", struct.pack(">II6I", 0, 6, *sizes)),
+        media.full(b"co64", struct.pack(">I4Q", 4, *places)) if wide else media.full(b"stco", struct.pack(">I4I", 4, *places)),
+    )
+    mdhd = media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 600, 100, 0, 0))
+    data = head + media.box(b"mdat", body) + media.box(b"moov", media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", table)))) + struct.pack(">I4s", 0, b"free")
+    d = media.describe(data)
+    assert (d["codec"], d["timescale"], d["duration"]) == ("avc1", 600, 100)
+    assert list(zip(d["offsets"].tolist(), d["sizes"].tolist(), strict=True)) == parts and d["sync"].tolist() == list(range(6))
+    assert b"".join(data[o : o + s] for o, s in parts) == b"".join(bytes([65 + k]) * s for k, s in enumerate(sizes))
+    assert len(media.ranges(d["offsets"], d["sizes"])) == 4
+
+
 def test_media_empty(none):
     assert media.media_columns(none).collect() == []
 
@@ -256,6 +306,33 @@ def test_toxicity_held_out(spark):
     assert len(kept & {i for i in range(900) if i % 8 == 0}) < 20 and len(kept) > 750
 
 
+def test_toxicity_of_one_class_and_other_columns(spark):
+    base = texts(17, 60)
+    docs = documents(spark, list(enumerate(base)))
+    one = spark.createDataFrame([(i, 1, "x", "y") for i in range(60)] + [(100_000 + i, 0, "x", "y") for i in range(50)], "doc_id long, toxic int, text string, lang string")
+    got = toxicity.toxicity(docs, one).collect()  # the other class names no document
+    assert len(got) == 60 and {r.score for r in got} == {got[0].score} and got[0].predicted == 1
+    apart = spark.createDataFrame([(i, int(i == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, apart)  # no toxic row is kept for calibration: the scores stay as they were learnt
+    assert model.scale == (1.0, 0.0) and model.thresholds == {}
+
+
+def test_training_lowers_the_loss():
+    """What training adds to the first channel's log odds: a pair of words tells the classes, neither word does."""
+    rng = np.random.default_rng(3)
+    data, labels = [], []
+    for i in range(600):
+        words = rng.integers(1, 200, 20).astype(np.int32)
+        a, b = (500, 501) if i % 2 else (501, 500)
+        words[7], words[8] = a, b
+        data.append(words)
+        labels.append(i % 2)
+    y = np.array(labels)
+    loss = lambda m: float(-np.mean(np.log(np.where(y == 1, toxicity._logistic(toxicity.raw_scores(m, data)), 1 - toxicity._logistic(toxicity.raw_scores(m, data))))))
+    start, end = (toxicity.train(data, y, np.ones(600), epochs) for epochs in (0, 12))
+    assert loss(start) > 0.6 and loss(end) < 0.3
+
+
 def test_toxicity_without_labels(spark, docs, none):
     table = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, table).filter("predicted = 1").count() == 0
@@ -436,6 +513,45 @@ def test_shared_viterbi_against_brute_force():
         assert abs(sum(scores[p] for p in pieces) - best) < 1e-9 and "".join(pieces) == word
 
 
+def model_file(path, pieces, kind, drops=False):
+    """A model file written field by field: unknown, control and byte pieces first, then pieces with their scores."""
+
+    def field(number, value):
+        if isinstance(value, bool) or isinstance(value, int):
+            return bytes([number << 3 & 0xFF | (0x80 if number > 15 else 0), *([number >> 4] if number > 15 else []), int(value)])
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        size = len(value)
+        return bytes([number << 3 | 2, *([size & 127 | 128, size >> 7] if size > 127 else [size])]) + value
+
+    piece = lambda text, score, type_: field(1, field(1, text.encode()) + field(2, float(score)) + field(3, type_))
+    out = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
+    out += b"".join(piece(t, s, 1) for t, s in pieces) + field(2, field(3, kind) + field(35, True)) + field(3, field(1, b"identity") + field(4, drops))
+    path.write_bytes(out)
+    return str(path)
+
+
+def test_pieces_of_a_unigram_file(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    rng = random.Random(13)
+    pieces = {"".join(rng.choices("abcd", k=rng.randint(2, 5))): -rng.uniform(2, 9) for _ in range(60)} | {c: -rng.uniform(5, 9) for c in "abcd▁"}
+    pieces |= {"▁" + p: s + 1 for p, s in rng.sample(sorted(pieces.items()), 30) if p != "▁"}
+    path = model_file(tmp_path / "unigram.model", sorted(pieces.items()), 1)
+    sp = SentencePieceProcessor(model_file=path)
+    data = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(rng.randint(1, 9))) for _ in range(80)] + ["", "a  b   c", " ab", "x é ab", "ab\ncd", None]
+    got = by_id(sentencepieces.encode(documents(spark, list(enumerate(data))), path).collect())
+    for i, t in enumerate(data):
+        assert got[i][0].ids == sp.encode(t or ""), t
+        assert got[i][0].round_trip
+
+
+def test_pieces_of_other_files_are_refused(tmp_path):
+    for name, kind, drops in (("words", 3, False), ("drops", 2, True)):
+        with pytest.raises(ValueError, match="not read here"):
+            sentencepieces.MarkedEncoder(model_file(tmp_path / name, [("a", -1.0)], kind, drops))
+
+
 def test_pieces_empty(none):
     assert sentencepieces.encode(none, PIECE).collect() == []
 
