@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
-from .pieces import Recent, worker_encoder
+from .pieces import Recent, gathered, worker_encoder
 
 MARK = "▁"
 
@@ -180,14 +180,16 @@ class MarkedEncoder:
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         split = [self.words.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
-        new = self.known.missing(set().union(*split))
+        return gathered(split, self._known)
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        new = self.known.missing(words)
         # marks of equal score merge from the left, which a prefix alone cannot tell: few distinct words begin with two
         double = [w for w in new if w.startswith(MARK * 2) and not self.trie.unigram]
         single = sorted(w for w in new if self.trie.unigram or not w.startswith(MARK * 2))
         for group, pieces in ((double, [merge(w, self.trie.scores) for w in double]), (single, self.trie.segment(single))):
             self.known.update(zip(group, map(self._pack, pieces), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return list(map(self.known.__getitem__, words))
 
     def encode(self, texts):
         held, size = [], 0
