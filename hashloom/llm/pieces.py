@@ -12,10 +12,6 @@ import json
 import os
 import re
 from array import array
-from itertools import chain, pairwise
-
-import numpy as np
-import pyarrow as pa
 
 #: What the two patterns below know: white space, ASCII, Latin-1 and Latin Extended-A and -B.
 ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa0-ɏ]")
@@ -71,27 +67,11 @@ class Recent(dict):
             self.aside = dict(self)
             self.clear()
         new = set(keys).difference(self)
-        again = new.intersection(self.aside)
-        self.update((k, self.aside[k]) for k in again)
-        return list(new - again)
-
-
-def gathered(split: list, of_words) -> list[bytes]:
-    """Of each list of words, the words' packed ids one after another. of_words is asked once, for the distinct words of all lists.
-
-    Words are numbered by Arrow, and ids are gathered by numpy: no word is looked up in a dict for each time it occurs.
-    """
-    words = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
-    held = of_words(words.dictionary.to_pylist())
-    ids = np.frombuffer(b"".join(held), "<u4")
-    sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-    starts = np.cumsum(sizes) - sizes
-    number = words.indices.to_numpy(zero_copy_only=False)
-    each = sizes[number]
-    ends = np.cumsum(each)
-    out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[number] - ends + each, each)]
-    upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(s) for s in split], dtype=np.int64)))]
-    return [out[a:b].tobytes() for a, b in pairwise(upto.tolist())]
+        if self.aside:
+            again = [k for k in new if k in self.aside]
+            self.update((k, self.aside[k]) for k in again)
+            new.difference_update(again)
+        return list(new)
 
 
 class PieceEncoder:
@@ -122,13 +102,10 @@ class PieceEncoder:
     def _chunk(self, texts: list[str]) -> list[bytes]:
         usual = [self.pattern is not None and not ODD.search(t) and not any(a in t for a in self.added) for t in texts]
         split = [self.pattern.findall(t.lower() if self.lower else t) if ok else () for t, ok in zip(texts, usual, strict=True)]
-        packed = gathered(split, self._known)
-        return [p if ok else self._whole([t])[0] for t, p, ok in zip(texts, packed, usual, strict=True)]
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        new = self.known.missing(words)
+        new = self.known.missing(set().union(*split))
         self.known.update(zip(new, map(self._word, new), strict=True))
-        return list(map(self.known.__getitem__, words))
+        get = self.known.__getitem__
+        return [b"".join(map(get, s)) if ok else self._whole([t])[0] for t, s, ok in zip(texts, split, usual, strict=True)]
 
     def encode(self, texts):
         """Packed ids of each text, in order; texts are taken a few megabytes at a time."""
