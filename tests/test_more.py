@@ -128,9 +128,12 @@ def stream(spark, rows, schema, tmp_path, query, mode, batches=2):
         spark.createDataFrame(rows[k::batches] if batches > 1 else rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
     name = "s" + "".join(random.choices("abcdefgh", k=8))
-    q = query(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return spark.table(name).collect()
+    q = query(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        return spark.table(name).collect()
+    finally:
+        q.stop()
 
 
 def test_stream_thresholds(spark, tmp_path):
