@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -130,7 +131,9 @@ def stream(spark, rows, schema, tmp_path, query, mode, batches=2):
     name = "s" + "".join(random.choices("abcdefgh", k=8))
     q = query(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).start()
     try:
-        q.processAllAvailable()
+        until = time.time() + 60  # a stream with timeouts never says that all is processed
+        while sum(p["numInputRows"] for p in q.recentProgress) < len(rows) and time.time() < until:
+            time.sleep(0.2)
         return spark.table(name).collect()
     finally:
         q.stop()
