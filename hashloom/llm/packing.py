@@ -20,7 +20,7 @@ from .common import map_batches, materialize, texts_of
 from .pieces import worker_encoder
 
 #: Steps of one enumeration of fillings, completions kept of each, and steps of all enumerations; None: no limit, an exact search.
-FILLING_STEPS, FILLINGS, SEARCH_STEPS = 400, 3, 100_000
+FILLING_STEPS, FILLINGS, SEARCH_STEPS = 400, 3, 400_000
 #: Bins of the first part of an incumbent that is packed anew; failing it, the part doubles until it is the whole.
 PART = 8
 
