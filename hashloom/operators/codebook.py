@@ -143,3 +143,22 @@ def seal(data: Column, secret: bytes) -> Column:
 def unseal(sealed: Column, digest: Column, secret: bytes) -> Column:
     """The data of seal(), given their SHA-256."""
     return F.aes_decrypt(sealed, hmac_sha256(secret, digest), F.lit("GCM"))
+
+
+#: Fixed value: rounds that stretch a password into a key.
+ROUNDS = 100_000
+
+
+def stretched(password: bytes, salt: bytes) -> bytes:
+    """A 256-bit key of a password: PBKDF2 with SHA-256, once on the driver; a salt is 16 random bytes kept beside the result."""
+    return hashlib.pbkdf2_hmac("sha256", password, salt, ROUNDS, 32)
+
+
+def lock(data: Column, key: bytes) -> Column:
+    """AES-256-GCM under one key: a random nonce, then the data and their tag; equal data differ. Null stays null."""
+    return F.aes_encrypt(data, F.lit(key), F.lit("GCM"))
+
+
+def unlock(locked: Column, key: bytes) -> Column:
+    """The data of lock(); null where the key is another or the bytes were changed."""
+    return F.try_aes_decrypt(locked, F.lit(key), F.lit("GCM"))

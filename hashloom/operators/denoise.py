@@ -185,6 +185,29 @@ def denoised(w: dict, ids: list[int], n: int, shape: Shape, steps: int = 10, hea
     return seq[len(ids) :].tolist()
 
 
+def revealed(w: dict, n: int, shape: Shape, steps: int = 20) -> list[int]:
+    """n ids out of masks alone: each step predicts every place anew and keeps the surest, a share that grows to all; places as sure as the last one kept stay too."""
+    seq = np.full(n, MASK)
+    for step in range(steps if n else 0):
+        p = softmax(forward(w, windows(seq, shape.radius))[0])
+        found, sure = p.argmax(axis=1), p.max(axis=1)
+        k = n * (step + 1) // steps
+        limit = np.sort(sure)[::-1][k - 1] if k else np.inf
+        seq = np.where(sure >= limit, found, MASK)
+    return seq.tolist()
+
+
+def unmask(lengths: DataFrame, column: str, w: dict, words: list[str], shape: Shape = Shape(), steps: int = 20) -> DataFrame:
+    """(length, generated): for each row as many words out of masks alone; a mask that is left stays visible, a null length is none."""
+
+    def run(frames):
+        for f in frames:
+            made = [" ".join(words[i] for i in revealed(w, 0 if pd.isna(n) else int(n), shape, steps)) for n in f[column]]
+            yield pd.DataFrame({column: f[column], "generated": made})
+
+    return lengths.select(F.col(column).cast("long").alias(column)).mapInPandas(run, f"{column} long, generated string")
+
+
 def generate(prompts: DataFrame, key: str, text: str, w: dict, words: list[str], n: int, shape: Shape = Shape()) -> DataFrame:
     """(key, generated): n places after each prompt, masks left out; unknown words of the prompt are masks, a null prompt is empty."""
     index = {x: i for i, x in enumerate(words) if i != MASK}

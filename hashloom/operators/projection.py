@@ -74,3 +74,9 @@ def projected_hash(vector: Column, mean: np.ndarray, components: np.ndarray) ->
         return pd.Series(np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0])
 
     return packed(vector)
+
+
+def sine_state(tokens: Column, width: int = 256) -> Column:
+    """Of each dimension i the sum of sin(token + i * place) over the tokens. No tokens: zeros; null: null."""
+    placed = F.transform(tokens, lambda t, k: F.struct(t.alias("t"), k.alias("k")))
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(placed, F.lit(0.0), lambda s, x: s + F.sin((x["t"] + i * x["k"]).cast("double"))))

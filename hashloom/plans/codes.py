@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hashloom.functions import bits
-from hashloom.operators import chunks, codebook, denoise, edits, projection, search
+from hashloom.operators import bytemerges, chunks, codebook, denoise, edits, projection, search
 from hashloom.sources import tensors
 
 from .texts import COUNTS, ELITE, chunk_counts, documents, fixed_sql, format_detect, table
@@ -169,3 +169,47 @@ def denoise_generate(spark, sf_dir):
     """Eight places after each benchmark item, filled by a model trained on the conversations."""
     words, w, _ = _language_model(spark, sf_dir, 4)
     return denoise.generate(table(spark, sf_dir, "benchmark"), "item_id", "text", w, words, 8)
+
+
+@query(f"WITH {fixed_sql(128)} SELECT doc_id, chunk_no, md5(hex) AS opened_md5, length(hex) // 2 + 28 AS locked_bytes, true AS wrong_key_fails FROM c")
+def password_lock(spark, sf_dir):
+    """Chunks locked under a stretched password, opened again, and not opened by another one."""
+    key, other = (codebook.stretched(p, b"sixteen byte salt"[:16]) for p in (b"a password", b"another"))
+    c = chunks.fixed(documents(spark, sf_dir), "doc_id", "text", 128).select(*_KEYS, codebook.lock(F.col("data"), key).alias("locked"))
+    opened = F.md5(F.hex(codebook.unlock(F.col("locked"), key)))
+    return c.select(*_KEYS, opened.alias("opened_md5"), F.length("locked").cast("long").alias("locked_bytes"), codebook.unlock(F.col("locked"), other).isNull().alias("wrong_key_fails"))
+
+
+@query("SELECT conv_id, turn, round(list_sum(list_transform(range(len(w)), lambda k: sin(w[k + 1]))), 4) AS first, round(list_sum(list_transform(range(len(w)), lambda k: sin(w[k + 1] + 7 * k))), 4) AS eighth, round(list_sum(list_transform(range(256), lambda i: ((i * 17 + 5) % 21 - 10) / 10 * list_sum(list_transform(range(len(w)), lambda k: sin(w[k + 1] + i * k))))), 4) AS logit FROM (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) AS w FROM conversations)")
+def sine_state(spark, sf_dir):
+    """A stand-in for a model's hidden state: sines of token numbers (here: lengths of words) and places; and its product with one row of weights."""
+    w = F.transform(F.split("text", " "), lambda x: F.length(x))
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", projection.sine_state(w).alias("h"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: ((i * 17 + 5) % 21 - 10) / 10)
+    logit = F.aggregate(F.zip_with("h", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("conv_id", "turn", F.round(F.get("h", F.lit(0)), 4).alias("first"), F.round(F.get("h", F.lit(7)), 4).alias("eighth"), F.round(logit, 4).alias("logit"))
+
+
+@query()
+def byte_merges(spark, sf_dir):
+    """Byte merges for a codebook, learnt from all documents: id, what it joins, how often, its bytes."""
+    merges = bytemerges.train(documents(spark, sf_dir), "text", 24)
+    names = bytemerges.table(merges)
+    return spark.createDataFrame([(*m, names[m[0]].hex()) for m in merges], "id long, left long, right long, n long, hex string")
+
+
+@query()
+def byte_encode(spark, sf_dir):
+    """All documents in a small model's byte merges, and read back."""
+    docs = documents(spark, sf_dir)
+    merges = bytemerges.train(docs, "text", 24, bytemerges.MODEL)
+    coded = docs.select("doc_id", "text", bytemerges.encode(F.col("text"), merges).alias("ids"))
+    back = bytemerges.decode(F.col("ids"), bytemerges.table(merges, bytemerges.MODEL))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.md5(back).alias("decoded_md5"))
+
+
+@query()
+def denoise_reverse(spark, sf_dir):
+    """What the model makes of masks alone, in twenty steps, for each length up to 32."""
+    words, w, _ = _language_model(spark, sf_dir, 4)
+    return denoise.unmask(spark.range(1, 33).select(F.col("id").alias("n")), "n", w, words)

@@ -73,3 +73,39 @@ def unpacked(rows: DataFrame, file: str, magic: bytes) -> DataFrame:
 def read_tensors(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
     """(path, name, shape, part, values) of every container below a folder."""
     return unpacked(files(spark, path), "path", magic)
+
+
+#: Matrices and vectors of a model file, in their order.
+LAYERS = ["emb", "pos", "w1", "b1", "w2", "b2"]
+
+
+def model_bytes(weights: dict[str, np.ndarray], words: list[str], magic: bytes) -> bytes:
+    """A language model as one file: magic, widths and radius, the words in order, then each layer's 32-bit floats."""
+    span, width = weights["pos"].shape
+    head = [magic, struct.pack("<4i", width, weights["w1"].shape[1], span // 2, len(words))]
+    named = [struct.pack("<i", len(x)) + x for x in (x.encode() for x in words)]
+    return b"".join([*head, *named, *(np.asarray(weights[k], "<f4").tobytes() for k in LAYERS)])
+
+
+def model_of(content: bytes, magic: bytes) -> tuple[dict[str, np.ndarray], list[str]]:
+    """Weights and words of model_bytes(); another kind of file, or one of another length than it says, is an error."""
+    if content[: len(magic)] != magic:
+        raise ValueError("not a model file")
+    try:
+        width, hidden, radius, n = struct.unpack_from("<4i", content, len(magic))
+        at, words = len(magic) + 16, []
+        for _ in range(n):
+            (size,) = struct.unpack_from("<i", content, at)
+            words.append(content[at + 4 : at + 4 + size].decode())
+            at += 4 + size
+    except struct.error as e:
+        raise ValueError("a model file is cut off") from e
+    span = 2 * radius + 1
+    shapes = dict(zip(LAYERS, [(n, width), (span, width), (span * width, hidden), (hidden,), (hidden, n), (n,)], strict=True))
+    if len(content) - at != 4 * sum(int(np.prod(x)) for x in shapes.values()):
+        raise ValueError("a model file is cut off, or goes on")
+    weights = {}
+    for k, x in shapes.items():
+        count = int(np.prod(x))
+        weights[k], at = np.frombuffer(content, "<f4", count, at).reshape(x).astype(float), at + 4 * count
+    return weights, words
