@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, linededup, media, packing, sentencepieces, sharding, simhash, tokenio, toxicity, warc
+from . import exactdedup, linededup, media, merkle, packing, phrases, rankbytes, sentencepieces, sharding, simhash, tokenio, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.mine_phrases(_table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, covered=50)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = rankbytes.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_packing, op3_media, op4_toxicity, op5_tokens, op6_sharding, op7_lines, op8_sentencepiece, op9_exact, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op3_media, op4_toxicity, op5_tokens, op6_sharding, op7_lines, op8_sentencepiece, op9_exact, op10_simhash, op11_phrases, op12_tiktoken, op13_merkle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
