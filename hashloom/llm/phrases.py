@@ -122,7 +122,8 @@ def mine(tokens: list[bytes], starts: int, longest: int, shortest: int = 1, may_
     ask = (lambda ids: may_be(shard, ids)) if may_be else (lambda ids: np.ones(len(ids), bool))
     found: dict[int, list] = {n: [] for n in range(shortest, longest + 1)}
     cuts = np.unique(np.searchsorted(shard.owner, shard.owner[::SLICE_BLOCKS]))  # where a word's blocks begin
-    for a, b in zip(cuts, [*cuts[1:], len(shard.owner)], strict=True):
+    edges = np.append(cuts, len(shard.owner))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         some = slice(a, b)
         words, number = np.unique(shard.owner[some], return_inverse=True)
         ids, owner, place, bits = words[:, None], number, shard.place[some], shard.first_bits[some]

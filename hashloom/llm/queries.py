@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, linededup, media, merkle, packing, phrases, rankbytes, sentencepieces, sharding, simhash, tokenio, toxicity, warc
+from . import exactdedup, linededup, media, merkle, packing, phrases, rankbytes, sentencepieces, sharding, simhash, statements, tokenio, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,9 +83,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op9_exact": """
-            SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-                   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-            FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-    }
+    return {"op9_exact": statements.EXACT, "op11_phrases": statements.PHRASES, "op13_merkle": statements.MERKLE}
