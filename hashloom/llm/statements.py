@@ -52,7 +52,7 @@ def _climbed(name: str, tree: str, start: str) -> str:
 
 MERKLE = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source AS grp, sha256({_HEAD} || {_said("text")}) AS h,
-    sha256({_HEAD} || {_said("CASE WHEN coalesce(xor(" + _CRC + ", 4294967295) % 2 = 0, false) THEN replace(text, chr(10), '') ELSE text END")}) AS told FROM documents),
+    sha256({_HEAD} || {_said("CASE WHEN doc_id IS NOT NULL AND xor(" + _CRC + ", 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS told FROM documents),
 leaves AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM d),
 {_tree("t", "leaves")},
 subroots AS (SELECT 0 AS grp, grp AS source, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM t WHERE n = 1),
