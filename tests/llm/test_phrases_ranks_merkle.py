@@ -74,13 +74,14 @@ def mined(rows, longest, least, covered, top=None):
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
-@pytest.mark.parametrize("longest, least, top, shard_bytes", [(3, 10, 2000, 1 << 20), (3, 2, None, 500), (4, 2, 7, 3000), (2, 3, None, 64)])
-def test_phrases(docs, longest, least, top, shard_bytes):
+@pytest.mark.parametrize("longest, least, top, shard_words, cut", [(3, 10, 2000, 1 << 20, 1 << 20), (3, 2, None, 500, 100), (4, 2, 7, 3000, 1), (2, 3, None, 1, 64)])
+def test_phrases(docs, monkeypatch, longest, least, top, shard_words, cut):
     """Repeats, ties, nulls, blanks, texts longer than a shard; pieces that run over a shard's end."""
+    monkeypatch.setattr(phrases, "CUT_BYTES", cut)
     rows = docs.select("lang", "text").collect()
     if longest == 4:
         rows, docs = rows[:60], docs.sparkSession.createDataFrame(rows[:60], docs.select("lang", "text").schema)
-    found = phrases.mine_phrases(docs, longest, least, top, 50, shard_bytes)
+    found = phrases.mine_phrases(docs, longest, least, top, 50, shard_words)
     assert sorted(tuple(r[c] for c in COLUMNS) for r in found.collect()) == mined(rows, longest, least, 50, top)
 
 
@@ -97,11 +98,15 @@ def test_bitmaps_find_every_run(monkeypatch, blocks):
     rng = random.Random(4)
     tokens = [rng.choice([b"a", b"a", b"b", b"c", b"."]) for _ in range(700)]
     for starts in (0, 1, 63, 64, 65, 640, 700):
-        shard, found = phrases.mine(tokens, starts, 4)
+        shard = phrases.Shard()
+        shard.add(tokens, starts)
+        shard.add(tokens[:70], 70)
+        words, got = list(shard.names), defaultdict(Counter)
+        for n, ids, f in phrases.mine(shard, 4):
+            got[n].update({tuple(words[x] for x in row): int(c) for row, c in zip(ids.tolist(), f, strict=True)})
         for n in range(1, 5):
-            want = Counter(tuple(tokens[i : i + n]) for i in range(starts) if len(tokens[i : i + n]) == n and b"." not in tokens[i : i + n])
-            ids, f = found[n]
-            assert {tuple(shard.words[x] for x in row): int(c) for row, c in zip(ids.tolist(), f, strict=True)} == want
+            want = Counter(t for run, k in ((tokens, starts), (tokens[:70], 70)) for i in range(k) if len(t := tuple(run[i : i + n])) == n and b"." not in t)
+            assert got[n] == want
 
 
 def test_a_filter_that_lets_all_pass_changes_nothing(docs, monkeypatch):
