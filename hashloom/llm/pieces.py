@@ -55,24 +55,39 @@ def worker_encoder(path: str, kind=None):
 
 
 class Recent(dict):
-    """A dict of `entries` at most: when full it sets its entries aside, and drops those not asked for by the next time."""
+    """A dict of so many entries and bytes at most: when full it sets its entries aside, and drops those not asked for by the next time. Long keys are never kept."""
 
-    def __init__(self, entries: int):
+    def __init__(self, entries: int, most_bytes: int = 32 << 20, longest: int = 256):
         super().__init__()
-        self.entries, self.aside = entries, {}
+        self.entries, self.most_bytes, self.longest, self.bytes, self.aside = entries, most_bytes, longest, 0, {}
 
     def missing(self, keys) -> list:
         """The keys that are not known; afterwards those set aside are at hand again."""
-        if len(self) >= self.entries:
+        if len(self) >= self.entries or self.bytes >= self.most_bytes:
             self.aside = dict(self)
             self.clear()
+            self.bytes = 0
         new = set(keys).difference(self)
         if self.aside:
             again = [k for k in new if k in self.aside]
             self.update((k, self.aside[k]) for k in again)
+            self.bytes += sum(map(len, again))
             new.difference_update(again)
         return list(new)
 
+    def learn(self, keys: list, values):
+        """Keeps the values of missing() keys; returns what looks any of them up, and all that are known."""
+        values = list(values)
+        if max(map(len, keys), default=0) <= self.longest:
+            self.update(zip(keys, values, strict=True))
+            self.bytes += sum(map(len, keys)) + sum(map(len, values))
+            return self.__getitem__
+        long = {k: v for k, v in zip(keys, values, strict=True) if len(k) > self.longest}
+        short = [(k, v) for k, v in zip(keys, values, strict=True) if len(k) <= self.longest]
+        self.update(short)
+        self.bytes += sum(len(k) + len(v) for k, v in short)
+        return lambda k: long[k] if k in long else self[k]
+
 
 class PieceEncoder:
     """Encodes lists of texts to ids packed as little-endian unsigned 32-bit integers."""
@@ -103,8 +118,7 @@ class PieceEncoder:
         usual = [self.pattern is not None and not ODD.search(t) and not any(a in t for a in self.added) for t in texts]
         split = [self.pattern.findall(t.lower() if self.lower else t) if ok else () for t, ok in zip(texts, usual, strict=True)]
         new = self.known.missing(set().union(*split))
-        self.known.update(zip(new, map(self._word, new), strict=True))
-        get = self.known.__getitem__
+        get = self.known.learn(new, map(self._word, new))
         return [b"".join(map(get, s)) if ok else self._whole([t])[0] for t, s, ok in zip(texts, split, usual, strict=True)]
 
     def encode(self, texts):

@@ -9,6 +9,7 @@ the prefix before it, merges back to just these two; the walk back along last pi
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from array import array
@@ -23,26 +24,76 @@ from .pieces import Recent, worker_encoder
 MARK = "▁"
 
 
-def merge(word: str, scores: dict[str, float]) -> list[str]:
-    """Merges of a word by falling score, leftmost first: the definition that the shared pass must meet."""
-    parts = list(word)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            s = scores.get(parts[i] + parts[i + 1])
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if at < 0:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+class Merges:
+    """Merges of a word by falling score, leftmost first: the definition that the shared pass must meet. A heap of pairs, so n log n steps."""
+
+    def __init__(self, scores: dict[str, float]):
+        falling = sorted(set(scores.values()), reverse=True)
+        rank = {s: r for r, s in enumerate(falling)}
+        self.ranks = {piece: rank[s] for piece, s in scores.items()}
+        self.numbers: dict[str, int] = {}
+        self.names: list[str] = []
+        self.pairs: dict[int, tuple[int, int] | None] = {}  # of two pieces' numbers: the rank and number of what they merge to
+
+    def _number(self, piece: str) -> int:
+        n = self.numbers.get(piece)
+        if n is None:
+            n = self.numbers[piece] = len(self.names)
+            self.names.append(piece)
+        return n
+
+    def _pair(self, key: int) -> tuple[int, int] | None:
+        made = self.names[key >> 32] + self.names[key & 0xFFFFFFFF]
+        rank = self.ranks.get(made)
+        found = self.pairs[key] = None if rank is None else (rank, self._number(made))
+        return found
+
+    def parts(self, word: str) -> list[str]:
+        pairs, n = self.pairs, len(word)
+        if len(self.names) + len(pairs) > 1_000_000:  # characters beyond the vocabulary are numbered too
+            pairs.clear(), self.numbers.clear(), self.names.clear()
+        own = list(map(self._number, word))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+
+        def offer(i: int, j: int) -> None:
+            key = own[i] << 32 | own[j]
+            pair = pairs[key] if key in pairs else self._pair(key)
+            if pair:
+                heap.append(pair[0] << 40 | i)
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        heapq.heapify(heap)
+        push, pop, heads = heapq.heappush, heapq.heappop, (1 << 40) - 1
+        while heap:
+            top = pop(heap)
+            i = top & heads
+            j = after[i]
+            if own[i] < 0 or j >= n:
+                continue  # one of the two has merged since
+            pair = pairs.get(own[i] << 32 | own[j])
+            if not pair or pair[0] != top >> 40:
+                continue
+            own[i], own[j], after[i] = pair[1], -1, after[j]
+            j, k = after[i], before[i]
+            if j < n:
+                before[j] = i
+                key = own[i] << 32 | own[j]
+                if pair := pairs[key] if key in pairs else self._pair(key):
+                    push(heap, pair[0] << 40 | i)
+            if k >= 0:
+                key = own[k] << 32 | own[i]
+                if pair := pairs[key] if key in pairs else self._pair(key):
+                    push(heap, pair[0] << 40 | k)
+        return [self.names[x] for x in own if x >= 0]
 
 
 class SharedPrefixes:
     """Segments sorted words; the forward state of the last word's prefixes stays for the next word."""
 
     def __init__(self, scores: dict[str, float], unigram: bool = False, entries: int = 500_000):
-        self.scores, self.unigram, self.entries = scores, unigram, entries
+        self.scores, self.unigram, self.entries, self.merges = scores, unigram, entries, Merges(scores)
         self.longest = max(map(len, scores), default=1)
         self.fits: dict[tuple[str, str], bool] = {}
         self.floor = min(scores.values(), default=0.0) - 10.0
@@ -53,7 +104,7 @@ class SharedPrefixes:
         if known is None:
             if len(self.fits) >= self.entries:
                 self.fits.clear()
-            known = self.fits[key] = merge(before + piece, self.scores) == ([before, piece] if before else [piece])
+            known = self.fits[key] = self.merges.parts(before + piece) == ([before, piece] if before else [piece])
         return known
 
     def segment(self, words: list[str]) -> list[list[str]]:
@@ -184,9 +235,8 @@ class MarkedEncoder:
         # marks of equal score merge from the left, which a prefix alone cannot tell: few distinct words begin with two
         double = [w for w in new if w.startswith(MARK * 2) and not self.trie.unigram]
         single = sorted(w for w in new if self.trie.unigram or not w.startswith(MARK * 2))
-        for group, pieces in ((double, [merge(w, self.trie.scores) for w in double]), (single, self.trie.segment(single))):
-            self.known.update(zip(group, map(self._pack, pieces), strict=True))
-        get = self.known.__getitem__
+        pieces = list(map(self.trie.merges.parts, double)) + self.trie.segment(single)
+        get = self.known.learn(double + single, map(self._pack, pieces))
         return [b"".join(map(get, s)) for s in split]
 
     def encode(self, texts):

@@ -21,6 +21,8 @@ from .pieces import worker_encoder
 MAGIC = b"RVB1"
 #: Values of a block at most, unless one document alone has more.
 BLOCK_VALUES = 1 << 19
+#: Values of a file about: there are as many files as shuffle partitions, or more.
+FILE_VALUES = 1 << 28
 
 #: Of each control byte, the lengths of its four values.
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.uint8)
@@ -120,7 +122,8 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, files: int | None
     spark = docs.sparkSession
     tokens = materialize(tokenize(docs, tokenizer, end_id), "tokens")
     # as many rows as the vocabulary has ids, at most
-    ranked = [r["id"] for r in id_counts(tokens).orderBy(F.desc("n"), "id").collect()]
+    counted = id_counts(tokens).orderBy(F.desc("n"), "id").collect()
+    ranked, total = [r["id"] for r in counted], sum(r["n"] for r in counted)
     folder = shared_dir(spark, "files")
     rank = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
@@ -129,7 +132,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, files: int | None
     with fs.open_output_stream(f"{root}/ranks.bin", compression=None) as f:
         f.write(np.array(ranked, "<u4").tobytes())
     table = spark.sparkContext.broadcast(rank)
-    parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_VALUES))
 
     def tasks(batches):
         from pyspark import TaskContext
@@ -158,7 +161,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, files: int | None
         fs.move(part, path)
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["file", "path", "docs", "ids"])
 
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one doc_id (null, repeated) go on by their ids and as they were read, so that a hot one fills several files
+    place = tokens.withColumns({"_ids": F.xxhash64("ids"), "_at": F.monotonically_increasing_id()})
+    ordered = place.repartitionByRange(parts, "doc_id", "_ids", "_at").sortWithinPartitions("doc_id", "_ids", "_at")
     return folder, materialize(map_batches(ordered.select("doc_id", "ids", "wide"), tasks, "file int, path string, docs long, ids long"), "manifest")
 
 
