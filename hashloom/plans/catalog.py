@@ -1,11 +1,11 @@
 """The queries of the library's own operators, with their SQL."""
 
-from . import codes, content, dialogue, index, stores, texts, vectors
+from . import codes, content, dialogue, index, stores, streams, texts, vectors
 
 
 def queries() -> dict:
-    return vectors.QUERIES | texts.QUERIES | codes.QUERIES | dialogue.QUERIES | content.QUERIES | index.QUERIES | stores.QUERIES
+    return vectors.QUERIES | texts.QUERIES | codes.QUERIES | dialogue.QUERIES | content.QUERIES | index.QUERIES | stores.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict:
-    return vectors.SQL | texts.SQL | codes.SQL | dialogue.SQL | content.SQL | index.SQL | stores.SQL
+    return vectors.SQL | texts.SQL | codes.SQL | dialogue.SQL | content.SQL | index.SQL | stores.SQL | streams.SQL

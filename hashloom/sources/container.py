@@ -37,8 +37,21 @@ CHUNK = struct.Struct("<qIII4x")
 #: Bytes of a file's pool about, documents that one task reads, and rows of a batch.
 FILE_BYTES, TASK_DOCUMENTS, ROWS = 64 << 20, 50_000, 10_000
 
-_WRITTEN = "doc long, chunk_no long, id long, size int, stored binary"
-_READ = f"{_WRITTEN}, block long"
+_READ = "doc long, chunk_no long, id long, data binary, block long"
+
+
+def _book(path: str) -> dict[int, bytes]:
+    """The container's codewords; a codebook is bounded."""
+    from pyarrow import parquet
+
+    fs, root = open_fs(path)
+    table = parquet.read_table(f"{root}/book", filesystem=fs, columns=["id", "data"])
+    return dict(zip(table["id"].to_pylist(), table["data"].to_pylist(), strict=True))
+
+
+def _xor(data: bytes, word: bytes) -> bytes:
+    """Delta of bytes and a codeword of their length, and back."""
+    return (int.from_bytes(data, "little") ^ int.from_bytes(word, "little")).to_bytes(len(data), "little")
 
 
 @dataclass
@@ -62,7 +75,8 @@ class _File:
             self.pool.append(data)
             self.size, self.held, self.first = self.size + len(data), [], len(self.chunks)
 
-    def add(self, doc, no: int, word, size: int, stored: bytes) -> None:
+    def add(self, doc, no: int, word, stored: bytes) -> None:
+        size = len(stored)
         if (doc, no) != self.doc:  # another document, or a gap
             self.flush()
             self.documents.append([doc, 0, no, len(self.chunks), len(self.blocks)])
@@ -95,7 +109,7 @@ class ContainerWriter(DataSourceArrowWriter):
 
     def write(self, iterator):
         fs, root = open_fs(self.path)
-        files, now = [], _File(self.chunk, self.per_block)
+        files, now, book = [], _File(self.chunk, self.per_block), _book(self.path)
 
         def close():
             if now.documents:
@@ -106,11 +120,11 @@ class ContainerWriter(DataSourceArrowWriter):
                 files.append(now.told(name))
 
         for batch in iterator:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now.size >= self.file_bytes and row[1] % self.per_block == 0:
+            for doc, no, word, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now.size >= self.file_bytes and no % self.per_block == 0:
                     close()
                     now = _File(self.chunk, self.per_block)
-                now.add(*row)
+                now.add(doc, no, word, data if word is None else _xor(data, book[word]))
         close()
         return _Files(files)
 
@@ -161,7 +175,7 @@ class ContainerReader(DataSourceReader):
         fs, root = open_fs(self.path)
         rows: list[tuple] = []
         with fs.open_input_file(f"{root}/{partition.file}") as f:
-            for row in self._rows(f, partition):
+            for row in self._rows(f, partition, _book(self.path)):
                 rows.append(row)
                 if len(rows) >= ROWS:
                     yield _batch(rows)
@@ -169,7 +183,7 @@ class ContainerReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _rows(self, f, partition):
+    def _rows(self, f, partition, book):
         magic, chunk, per_block, n_documents, n_chunks, n_blocks = HEADER.unpack(f.read_at(HEADER.size, 0))
         if magic != MAGIC:
             raise ValueError("not a container")
@@ -194,9 +208,9 @@ class ContainerReader(DataSourceReader):
                 data = pa.decompress(packed[at - some[0][0] : at - some[0][0] + stored], raw, codec="zstd", asbytes=True) if raw else b""
                 stop = min(some[i + 1][3] if i + 1 < len(some) else start + per_block - (no + start - first) % per_block, last)
                 words = CHUNK.iter_unpack(f.read_at((stop - start) * CHUNK.size, chunk_table + start * CHUNK.size))
-                for k, (word, place, length, original) in enumerate(words):
-                    number = no + start - first + k
-                    yield doc, number, None if word < 0 else word, original, data[place : place + length], number // per_block
+                for k, (word, place, length, _) in enumerate(words):
+                    number, own = no + start - first + k, data[place : place + length]
+                    yield doc, number, None if word < 0 else word, own if word < 0 else _xor(own, book[word]), number // per_block
 
     def _asked(self, doc) -> bool:
         if self.first is None and self.last is None:
@@ -205,8 +219,8 @@ class ContainerReader(DataSourceReader):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "chunk_no", "id", "size", "stored", "block"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "chunk_no", "id", "data", "block"])
 
 
 class Container(DataSource):
@@ -238,15 +252,17 @@ def pack(docs: DataFrame, key: str, text: str, path: str, book: DataFrame, chunk
     book.select("id", "data").write.parquet(f"{path}/book")
     rows = chunks.fixed(docs.select(F.col(key).cast("long").alias("doc"), text), "doc", text, chunk).select("doc", "chunk_no", "data")
     whole = codebook.packed(rows.filter(F.length("data") == chunk), spark.read.parquet(f"{path}/book"), ["doc", "chunk_no"])
-    short = rows.filter(F.length("data") < chunk).select("doc", "chunk_no", "data", F.lit(None).cast("long").alias("id"), F.col("data").alias("stored"))
-    every = whole.select(*short.columns).unionByName(short).select("doc", "chunk_no", "id", F.length("data").alias("size"), "stored")
+    short = rows.filter(F.length("data") < chunk).select("doc", "chunk_no", F.lit(None).cast("long").alias("id"), "data")
+    every = whole.select(*short.columns).unionByName(short)
+    every.write.parquet(f"{path}/rows")  # the search is not done again to find the ranges
     # chunks of one block go together: the range is over its number, not the chunk's
-    dealt = every.withColumn("_block", F.floor(F.col("chunk_no") / per_block)).repartitionByRange("doc", "_block").sortWithinPartitions("doc", "chunk_no").drop("_block")
+    dealt = spark.read.schema(every.schema).parquet(f"{path}/rows").repartitionByRange("doc", F.floor(F.col("chunk_no") / per_block)).sortWithinPartitions("doc", "chunk_no")
     dealt.write.format(NAME).option("path", path).option("chunk", chunk).option("perBlock", per_block).option("fileBytes", file_bytes).mode("append").save()
+    fs.delete_dir(f"{root}/rows")
 
 
 def read(spark: SparkSession, path: str, **asked: int | None) -> DataFrame:
-    """(doc, chunk_no, id, size, stored, block) of the chunks in blocks that a range touches: start, end, firstDoc, lastDoc."""
+    """(doc, chunk_no, id, data, block) of the chunks in blocks that a range touches: start, end, firstDoc, lastDoc."""
     spark.dataSource.register(Container)
     reader = spark.read.format(NAME).option("path", path)
     for name, value in asked.items():
@@ -257,8 +273,7 @@ def read(spark: SparkSession, path: str, **asked: int | None) -> DataFrame:
 
 def unpacked(spark: SparkSession, path: str, chunk: int = 128, start: int = 0, end: int | None = None, **asked) -> DataFrame:
     """(doc, data, blocks): bytes start to end of each document that has some, from its pointers, the codebook and the pool; blocks counts those opened."""
-    stored = read(spark, path, start=start, end=end, **asked).withColumn("decision", F.when(F.col("id").isNull(), "literal").otherwise("delta"))
-    rows = codebook.rebuilt(stored, spark.read.parquet(f"{path}/book"))
+    rows = read(spark, path, start=start, end=end, **asked)
     at = F.col("chunk_no") * chunk
     stop = at + F.length("data") if end is None else F.least(at + F.length("data"), F.lit(end))
     low = F.greatest(at, F.lit(start))
