@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: First bytes in hex, category, hint and confidence, in the order they are tried.
+#: First bytes in hex (?: any digit), category, hint and confidence, in the order they are tried.
 MAGIC = [
     ("89504e47", "compressed", "png", 1.0),
     ("504b0304", "compressed", "zip", 1.0),
@@ -16,12 +16,15 @@ MAGIC = [
     ("ffd8ff", "compressed", "jpeg", 1.0),
     ("474946383761", "compressed", "gif", 1.0),
     ("474946383961", "compressed", "gif", 1.0),
+    ("52494646????????57454250", "compressed", "webp", 1.0),
     ("424d", "raw_image", "bmp", 0.9),
     ("49492a00", "raw_image", "tiff", 0.9),
     ("4d4d002a", "raw_image", "tiff", 0.9),
     ("7f454c46", "binary", "elf", 0.9),
     ("255044462d", "binary", "pdf", 0.9),
 ]
+#: First bytes in hex of content that is compressed already, or a model's weights.
+PACKED = ("89504e47", "52494646????????57454250", "504b0304", "1f8b", "7f454c46", "47475546", "ffd8ff", "47494638")
 #: Characters of a sample, and words that tell statements and code.
 SAMPLE, STATEMENTS, CODE = 8192, "SELECT |INSERT INTO |CREATE TABLE ", "func |class |def |package |import |function "
 #: The basis and the prime of FNV-1a.
@@ -29,7 +32,8 @@ BASIS, PRIME = 14695981039346656037, 1099511628211
 
 
 def _begins(data: Column, magic: str) -> Column:
-    return F.hex(F.substring(data, 1, len(magic) // 2)) == magic.upper()
+    head = F.hex(F.substring(data, 1, len(magic) // 2))
+    return head.like(magic.upper().replace("?", "_")) if "?" in magic else head == magic.upper()
 
 
 def _sample(data: Column) -> Column:
@@ -62,6 +66,14 @@ def extension(data: Column) -> Column:
     return out.when((lines > 5) & (odd < F.length(sample) / 10), "LINES").otherwise("UNKNOWN")
 
 
+def packed_already(data: Column) -> Column:
+    """Whether more than four bytes begin as compressed content does. Null: false."""
+    begins = F.lit(False)
+    for magic in PACKED:
+        begins = begins | _begins(data, magic)
+    return F.coalesce((F.length(data) > 4) & begins, F.lit(False))
+
+
 def passes_through(entropy: Column, limit: float = 7.8) -> Column:
     """Whether bytes are too random to be worth packing."""
     return entropy > limit

@@ -132,13 +132,14 @@ def codebook_augment_top(spark, sf_dir):
     return chunks.augmented(chunk_counts(spark, sf_dir).orderBy(F.desc("n"), "data").limit(256)).select(F.md5(F.hex("data")).alias("chunk_md5"), "n")
 
 
-@query("""WITH t AS (SELECT 'INFO [worker-' || i % 10 || '] Processed request ' || i || ' from 192.168.1.' || i % 255 || ' - STATUS OK' AS line, i % 10 AS worker FROM range(1, 500001) r(i))
+@query("""WITH t AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO [worker-' || user_id % 10 || '] Processed request ' || event_id || ' from 192.168.1.' || event_id % 255 || ' - STATUS ' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS line, user_id % 10 AS worker FROM events)
 SELECT worker, count(*) AS n, sum(length(line))::BIGINT AS chars, max(line) AS last FROM t GROUP BY worker""")
 def log_lines(spark, sf_dir):
-    """Half a million lines of a service's log, made from their number alone, by worker."""
-    i = F.col("id")
-    line = F.format_string("INFO [worker-%d] Processed request %d from 192.168.1.%d - STATUS OK", i % 10, i, i % 255)
-    return spark.range(1, 500001).select((i % 10).alias("worker"), line.alias("line")).groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"), F.max("line").alias("last"))
+    """Events as the lines of a service's log, by worker."""
+    e = table(spark, sf_dir, "events").withColumn("worker", F.col("user_id") % 10)
+    status = F.when(F.col("event_type") == "error", "ERROR").otherwise("OK")
+    line = F.format_string("%s INFO [worker-%d] Processed request %d from 192.168.1.%d - STATUS %s", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "worker", "event_id", F.col("event_id") % 255, status)
+    return e.select("worker", line.alias("line")).groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"), F.max("line").alias("last"))
 
 
 _TRAIN = f"{fixed_sql(128)}, book AS (SELECT DISTINCT hex FROM c WHERE doc_id % 2 = 0 AND length(hex) = 256), cost AS (SELECT doc_id, count(*) AS n_chunks, count(book.hex) AS hits, sum(length(c.hex) // 2)::BIGINT AS raw, (24 * count(*) + coalesce(sum(CASE WHEN book.hex IS NULL THEN length(c.hex) // 2 END), 0))::BIGINT AS packed FROM c LEFT JOIN book USING (hex) WHERE doc_id % 2 = 1 GROUP BY doc_id)"
@@ -157,12 +158,12 @@ def pack_metrics(spark, sf_dir):
     return costs(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("raw") - F.col("packed")).alias("saved"), F.round(F.sum("raw") / F.sum("packed"), 6).alias("ratio"), F.round(100 * (1 - F.sum("packed") / F.sum("raw")), 6).alias("reduction"))
 
 
-@query(f"WITH {_TRAIN} SELECT doc_id, raw <= 33554432 AND packed / raw <= 1.15 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS promoted FROM cost")
+@query(f"WITH {_TRAIN} SELECT doc_id, raw <= 33554432 AND packed / raw <= 0.95 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS promoted FROM cost")
 def promotion_gate(spark, sf_dir):
-    """Documents that are trusted (labelled as good), small enough and packed to at most 1.15 of their size."""
+    """Documents that are trusted (labelled as good), small enough and packed to at most 0.95 of their size."""
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     rows = costs(spark, sf_dir).join(trusted, "doc_id", "left")
-    return rows.select("doc_id", ((F.col("raw") <= 32 << 20) & (F.col("packed") / F.col("raw") <= 1.15) & F.coalesce("trusted", F.lit(False))).alias("promoted"))
+    return rows.select("doc_id", ((F.col("raw") <= 32 << 20) & (F.col("packed") / F.col("raw") <= 0.95) & F.coalesce("trusted", F.lit(False))).alias("promoted"))
 
 
 @query(f"""WITH {fixed_sql(512)}, n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) SELECT c.doc_id, c.chunk_no AS idx FROM c JOIN n USING (doc_id) WHERE doc_id % 4 = 0 OR (doc_id % 4 = 1 AND chunk_no = 0 AND left(hex, 2) <> '23')
@@ -189,12 +190,14 @@ def fnv_digest(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", content.fnv1a(F.col("text")).alias("digest"))
 
 
-@query("SELECT i AS id, list_aggregate(list_transform(range(64), lambda x: (i * x * x + (i * 7 + 3) * x + i % 256) % 256), 'sum')::BIGINT AS total, (i * 9 + (i * 7 + 3) * 3 + i % 256) % 256 AS fourth FROM range(256) r(i)")
+@query("""WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) > 2), i AS (SELECT doc_id, ('0x' || substr(h, 1, 2))::BIGINT AS a, ('0x' || substr(h, 3, 2))::BIGINT AS b, ('0x' || substr(h, 5, 2))::BIGINT AS c FROM b)
+SELECT doc_id, list_sum(list_transform(range(64), lambda x: (a * x * x + b * x + c) % 256))::BIGINT AS total, (a * 9 + b * 3 + c) % 256 AS fourth FROM i""")
 def polynomial_bytes(spark, sf_dir):
-    """Bytes that a x^2 + b x + c mod 256 generates, for 256 seeds."""
-    i = F.col("id")
-    made = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: (i * x * x + (i * 7 + 3) * x + i % 256) % 256)
-    return spark.range(256).select("id", F.aggregate(made, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.get(made, F.lit(3)).alias("fourth"))
+    """The first bytes that a x^2 + b x + c mod 256 generates, with each document's first three bytes as its seed."""
+    byte = lambda k: F.conv(F.substring(F.hex(F.encode("text", "UTF-8")), 2 * k + 1, 2), 16, 10).cast("long")
+    seeds = documents(spark, sf_dir).filter(F.octet_length("text") > 2).select("doc_id", *(byte(k).alias(n) for k, n in enumerate("abc")))
+    made = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: (F.col("a") * x * x + F.col("b") * x + F.col("c")) % 256)
+    return seeds.select("doc_id", F.aggregate(made, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.get(made, F.lit(3)).alias("fourth"))
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS plain, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]+')) AS whole FROM documents)
@@ -230,8 +233,21 @@ def codeword_allowed(spark, sf_dir):
     return codebook.nearest_linear(c.select("doc_id", "chunk_no", "data"), book.join(F.broadcast(allowed), "id", "left_semi"), ["doc_id", "chunk_no"])
 
 
-@query("SELECT event_id, user_id % 7 AS peer, substr(md5(event_type), 1, 1) AS topic FROM events WHERE user_id % 7 <> 3 AND substr(md5(event_type), 1, 1) IN ('3', '6', 'b', 'c') AND (value <= 0 OR substr(md5(event_id || ':' || user_id), 1, 1) < 'c')")
+_SECRET = b"a secret of the peers"
+_PADS = ["".join(f"{b ^ pad:02X}" for b in _SECRET.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+_MESSAGE = "hex(encode(event_id || ':' || user_id))"
+
+
+def _hmac(message: str) -> str:
+    return f"sha256(unhex('{_PADS[1]}' || sha256(unhex('{_PADS[0]}' || {message}))))"
+
+
+@query(f"""WITH m AS (SELECT event_id, user_id % 7 AS peer, substr(md5(event_type), 1, 1) AS topic, value, {_hmac(_MESSAGE)} AS good, CASE WHEN event_id % 4 = 0 THEN {_hmac("hex(encode(event_id || ':' || (user_id + 1)))")} ELSE {_hmac(_MESSAGE)} END AS signature FROM events)
+SELECT event_id, peer, topic, signature FROM m WHERE peer <> 3 AND topic IN ('3', '6', 'b', 'c') AND (value <= 0 OR signature = good)""")
 def gossip_accept(spark, sf_dir):
-    """Messages of the topics subscribed to that others sent; those with weight need a valid signature."""
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).alias("peer"), F.substring(F.md5("event_type"), 1, 1).alias("topic"), F.col("value").alias("weight"), F.substring(F.md5(F.concat_ws(":", F.col("event_id").cast("string"), F.col("user_id").cast("string"))), 1, 1).alias("signature"))
-    return content.accepted(rows, 3, ["3", "6", "b", "c"], F.col("signature") < "c").select("event_id", "peer", "topic")
+    """Messages of the topics subscribed to that others sent; those with weight need the peers' HMAC, and every fourth message has that of another sender."""
+    message = lambda who: F.encode(F.concat_ws(":", F.col("event_id").cast("string"), who.cast("string")), "UTF-8")
+    signed = lambda who: F.lower(F.hex(codebook.hmac_sha256(_SECRET, message(who))))
+    sender = F.when(F.col("event_id") % 4 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 7).alias("peer"), F.substring(F.md5("event_type"), 1, 1).alias("topic"), F.col("value").alias("weight"), signed(sender).alias("signature"))
+    return content.accepted(rows, 3, ["3", "6", "b", "c"], F.col("signature") == signed(F.col("user_id"))).select("event_id", "peer", "topic", "signature")

@@ -276,7 +276,8 @@ def topk_draw(spark, sf_dir):
 @query(f"""WITH {bags('documents', 'doc_id')}, idf AS (SELECT token, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM terms GROUP BY token),
 {bags('benchmark', 'item_id').replace('terms AS', 'probe AS')}, {bags('conversations', 'conv_id').replace('terms AS', 'talk AS')}, spoken AS (SELECT DISTINCT token FROM talk JOIN idf USING (token)),
 lost AS (SELECT DISTINCT token FROM probe WHERE length(token) > 2 AND token NOT IN (SELECT token FROM spoken)),
-found AS (SELECT l.token, min(s.token) AS match FROM lost l JOIN spoken s ON abs(length(l.token) - length(s.token)) <= 1 AND levenshtein(l.token, s.token) <= 1 GROUP BY l.token)
+cut AS (SELECT token, unnest(list_prepend(token, list_transform(range(1, length(token) + 1), lambda i: substr(token, 1, (i - 1)::INT) || substr(token, (i + 1)::INT)))) AS v FROM (SELECT token FROM lost UNION SELECT token FROM spoken)),
+found AS (SELECT l.token, min(s.token) AS match FROM (SELECT DISTINCT * FROM cut SEMI JOIN lost USING (token)) l JOIN (SELECT DISTINCT * FROM cut SEMI JOIN spoken USING (token)) s USING (v) WHERE levenshtein(l.token, s.token) <= 1 GROUP BY l.token)
 SELECT item_id, token, round(tf * (CASE WHEN s.token IS NOT NULL THEN i.idf ELSE 0.5 * j.idf END), 6) AS weight FROM probe LEFT JOIN spoken s USING (token) LEFT JOIN idf i USING (token) LEFT JOIN found f USING (token) LEFT JOIN idf j ON j.token = f.match WHERE s.token IS NOT NULL OR f.match IS NOT NULL""")
 def rescued_weights(spark, sf_dir):
     """Weights of the benchmark's tokens over the conversations' vocabulary: an unknown token within one edit of a known one counts half of it."""

@@ -109,10 +109,11 @@ def exact_self_join(spark, sf_dir):
     return search.all_links(h.select(F.col("vec_id").alias("id"), F.col("h").alias("hash")), 20)
 
 
-@query("SELECT d::BIGINT AS distance, round(100 / (1 + exp(1.5 * (d - 4))), 6) AS confidence, CASE WHEN d > 14 THEN 0 ELSE round(100 / (1 + exp(1.5 * (d - 4))), 6) END AS gated, round(greatest(0, 100 - 2.0 * d), 6) AS linear FROM range(65) t(d)")
+@query(f"WITH {HASHES}, {PAIRS} SELECT distance, count(*) AS pairs, round(100 / (1 + exp(1.5 * (distance - 4))), 6) AS confidence, CASE WHEN distance > 14 THEN 0 ELSE round(100 / (1 + exp(1.5 * (distance - 4))), 6) END AS gated, round(greatest(0, 100 - 2.0 * distance), 6) AS linear FROM pairs GROUP BY distance")
 def sigmoid_curve(spark, sf_dir):
-    d = F.col("id")
-    return spark.range(65).select(d.alias("distance"), F.round(calibration.confidence(d, 4.0), 6).alias("confidence"), F.round(calibration.hard_negative(d, 14), 6).alias("gated"), F.round(calibration.consensus(d), 6).alias("linear"))
+    """The curves of confidence at the distances that pairs of the stated queries have."""
+    d = F.col("distance")
+    return hamming_pairs_histogram(spark, sf_dir).select(d, "pairs", F.round(calibration.confidence(d, 4.0), 6).alias("confidence"), F.round(calibration.hard_negative(d, 14), 6).alias("gated"), F.round(calibration.consensus(d), 6).alias("linear"))
 
 
 @query(f"WITH {HASHES}, {PAIRS}, {NEAREST} SELECT query, CASE WHEN distance > 14 THEN 0.0 ELSE round(100 / (1 + exp(1.5 * (distance - 4))), 6) END AS score FROM near")
@@ -217,6 +218,9 @@ def ttl_decay(spark, sf_dir):
     return e.groupBy("user_id").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(now)).select("user_id", (F.col("last") >= F.col("now") - F.expr("INTERVAL 1 HOUR")).alias("alive"))
 
 
-@query("SELECT t::BIGINT AS step, round(0.05 * (0.1 + 0.45 * (1 + cos(pi() * t / 200))), 6) AS rate FROM range(201) s(t)")
+@query("SELECT conv_id, turn, round(0.05 * (0.1 + 0.45 * (1 + cos(pi() * turn / (SELECT max(turn) + 1 FROM conversations)))), 6) AS rate FROM conversations")
 def cosine_lr(spark, sf_dir):
-    return spark.range(201).select(F.col("id").alias("step"), F.round(calibration.cosine_rate(0.05, F.col("id"), F.lit(200)), 6).alias("rate"))
+    """The learning rate at each turn where one conversation's turns are the steps of a round."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
+    steps = t.agg((F.max("turn") + 1).alias("steps"))  # one row
+    return t.crossJoin(F.broadcast(steps)).select("conv_id", "turn", F.round(calibration.cosine_rate(0.05, F.col("turn"), F.col("steps")), 6).alias("rate"))
