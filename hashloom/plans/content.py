@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hashloom.functions import content, text
-from hashloom.operators import bpe, chunks, codebook
+from hashloom.operators import bpe, cascade, chunks, codebook
 
 from .sqltext import TOKENS
 from .texts import COUNTS, ELITE, chunk_counts, documents, fixed_sql, pack_cost, table
@@ -251,3 +251,47 @@ def gossip_accept(spark, sf_dir):
     sender = F.when(F.col("event_id") % 4 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 7).alias("peer"), F.substring(F.md5("event_type"), 1, 1).alias("topic"), F.col("value").alias("weight"), signed(sender).alias("signature"))
     return content.accepted(rows, 3, ["3", "6", "b", "c"], F.col("signature") == signed(F.col("user_id"))).select("event_id", "peer", "topic", "signature")
+
+
+#: First bytes of a picture of two kinds.
+_PNG, _WEBP = "89504E470D0A1A0A", "524946460102030457454250"
+_CASCADE = f"""{COUNTS}, {ELITE}, p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '{_PNG}' WHEN 3 THEN '{_WEBP}' END || hex(encode(text)) AS t, upper(array_to_string(list_transform(range(64), lambda i: md5(doc_id || ':' || i)), '')) AS noise FROM documents),
+y AS (SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN noise ELSE t END AS hex FROM p),
+z AS (SELECT doc_id, k AS chunk_no, left(y.hex, 24) AS head, substr(y.hex, (256 * k + 1)::INT, 256) AS hex FROM y, LATERAL unnest(range(length(y.hex) // 256)) t(k)),
+bc AS (SELECT doc_id, chunk_no, b, count(*) AS c FROM (SELECT doc_id, chunk_no, unnest(list_transform(range(128), lambda i: substr(hex, (2 * i + 1)::INT, 2))) AS b FROM z) GROUP BY ALL),
+e AS (SELECT doc_id, chunk_no, -sum(c / 128 * log2(c / 128)) AS e FROM bc GROUP BY ALL),
+g AS (SELECT z.*, CASE WHEN starts_with(head, left('{_PNG}', 8)) OR regexp_matches(head, '^52494646.{{8}}57454250') THEN 'packed' WHEN e > 5.5 THEN 'noise' END AS gate FROM z JOIN e USING (doc_id, chunk_no)),
+d AS (SELECT g.doc_id, g.chunk_no, g.hex, min(struct_pack(distance := bit_count(xor(unhex(g.hex)::BIT, unhex(x.hex)::BIT))::BIGINT, id := x.id, pattern := x.hex)) AS m FROM g LEFT JOIN elite x ON substr(g.hex, 1, 4) = substr(x.hex, 1, 4) WHERE gate IS NULL GROUP BY ALL),
+k AS (SELECT doc_id, chunk_no, CASE WHEN m.id IS NULL OR 1 - m.distance / 1024 <= 0.2 THEN 'literal' WHEN 1 - m.distance / 1024 > 0.95 THEN 'hit' ELSE 'delta' END AS decision, m.distance AS distance FROM d
+UNION ALL SELECT doc_id, chunk_no, gate, NULL FROM g WHERE gate IS NOT NULL)"""
+
+
+@query(f"WITH {_CASCADE} SELECT doc_id % 4 AS kind, decision, count(*) AS chunks, count(*) FILTER (decision NOT IN ('packed', 'noise')) AS searched, sum(distance)::BIGINT AS distance FROM k GROUP BY ALL")
+def search_cascade(spark, sf_dir):
+    """Texts, the same behind the first bytes of two kinds of pictures, and digests: how many chunks each gate takes before the search."""
+    docs, kind = documents(spark, sf_dir), F.col("doc_id") % 4
+    noise = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), i.cast("string")))), ""))
+    start = F.when(kind == 1, F.unhex(F.lit(_PNG))).when(kind == 3, F.unhex(F.lit(_WEBP))).otherwise(F.lit(b""))
+    payload = docs.select("doc_id", F.when(kind == 2, noise).otherwise(F.concat(start, F.encode("text", "UTF-8"))).alias("data"))
+    parts = chunks.slices(F.decode("data", "ISO-8859-1"), 128)
+    rows = payload.select("doc_id", F.substring("data", 1, 12).alias("head"), F.posexplode(parts).alias("chunk_no", "_c")).select("doc_id", "chunk_no", "head", F.encode("_c", "ISO-8859-1").alias("data"))
+    book = chunks.elite(chunk_counts(spark, sf_dir), 8, 4096).select("id", "data")
+    found = cascade.decided(rows.filter(F.length("data") == 128), book, ["doc_id", "chunk_no"], noisy=5.5)
+    looked = F.count_if(~F.col("decision").isin("packed", "noise"))
+    return found.groupBy((F.col("doc_id") % 4).alias("kind"), "decision").agg(F.count(F.lit(1)).alias("chunks"), looked.alias("searched"), F.sum("distance").alias("distance"))
+
+
+#: A registry of codebooks: name, category, hint, bytes of a codeword. The second size has no universal one.
+_REGISTRY = [("logs-128", "text_logs", "text", 128), ("packed-128", "compressed", "zip", 128), ("pdf-128", "document", "pdf", 128), ("odd-128", "other", "unknown", 128), ("plain-128", "universal", "", 128), ("picture-64", "raw_image", "bmp", 64), ("elf-64", "machine", "elf", 64)]
+_VALUES = ", ".join(f"('{b}', '{c}', '{h}', {n})" for b, c, h, n in _REGISTRY)
+
+
+@query(f"""WITH books(book, category, hint, size) AS (VALUES {_VALUES}), k AS ({SQL["content_kinds"]}), a AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 64 ELSE 128 END AS size, CASE WHEN confidence >= 0.5 THEN category END AS sure FROM k)
+SELECT doc_id, category, hint, confidence, coalesce((SELECT min(book) FROM books b WHERE b.size = a.size AND b.category = a.sure), (SELECT min(book) FROM books b WHERE b.size = a.size AND b.hint = a.hint),
+(SELECT min(book) FROM books b WHERE b.size = a.size AND b.category = 'universal'), (SELECT min(book) FROM books b WHERE b.size = a.size)) AS book FROM a""")
+def content_route(spark, sf_dir):
+    """The codebook of each content by what it looks like: by category where that is sure, else by hint, else the universal one, else any of the size."""
+    start = F.element_at(F.array(*(F.lit(x) for x in _STARTS)), (F.col("doc_id") % 12 + 1).cast("int"))
+    data = documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 5 == 0, 64).otherwise(128).cast("long").alias("size"), F.concat(F.unhex(start), F.encode("text", "UTF-8")).alias("data"))
+    books = spark.createDataFrame(_REGISTRY, "book string, category string, hint string, size long")
+    return cascade.routed(data, books).select("doc_id", "category", "hint", "confidence", "book")
