@@ -289,7 +289,9 @@ def _leaves(spark, sf_dir):
     return rows.join(last, "doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {fixed_sql(4096)}, t AS (SELECT doc_id, chunk_no AS i, count(*) OVER (PARTITION BY doc_id) AS n, sha256(unhex(hex)) AS h, count(*) OVER (PARTITION BY doc_id) AS n_leaves FROM c
+UNION ALL SELECT doc_id, i // 2, (n + 1) // 2, sha256(unhex(min_by(h, i) || max_by(h, i))), n_leaves FROM t WHERE n > 1 GROUP BY doc_id, i // 2, n, n_leaves)
+SELECT doc_id, h AS root, n_leaves FROM t WHERE n = 1""")
 def merkle_root(spark, sf_dir):
     return chunks.merkle_root(_leaves(spark, sf_dir), "doc_id")
 

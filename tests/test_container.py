@@ -39,7 +39,7 @@ def test_whole(spark, packed, texts):
     assert len(kinds) == 2
 
 
-@pytest.mark.parametrize("start, end", [(0, 1), (63, 65), (64, 128), (100, 1000), (19_000, 50_000), (7, 7), (10**9, None), (130, None)])
+@pytest.mark.parametrize("start, end", [(63, 65), (64, 128), (19_000, 50_000), (10**9, None), (130, None)])
 def test_ranges(spark, packed, texts, start, end):
     """A document without bytes in the range has no row; others open the blocks that the range touches and no more."""
     want = {}
@@ -51,7 +51,7 @@ def test_ranges(spark, packed, texts, start, end):
     assert back(container.unpacked(spark, packed, 16, start, end)) == want
 
 
-@pytest.mark.parametrize("first, last", [(100, 104), (None, -5), (1000, None), (5000, 6000)])
+@pytest.mark.parametrize("first, last", [(100, 104), (None, -5), (5000, 6000)])
 def test_keys(spark, packed, texts, first, last):
     want = {k for k, t in texts.items() if t and k is not None and (first is None or k >= first) and (last is None or k <= last)}
     assert set(back(container.unpacked(spark, packed, 16, firstDoc=first, lastDoc=last))) == want
