@@ -81,15 +81,22 @@ def passes_through(entropy: Column, limit: float = 7.8) -> Column:
 
 @F.pandas_udf(StringType())
 def _fnv(texts: pd.Series) -> pd.Series:
-    """All texts of a batch go on together, a byte at a time, in 64-bit arithmetic that wraps."""
+    """Texts of a batch go on together, a byte at a time, in 64-bit arithmetic that wraps; the last few, which are long, one by one."""
     data = [(x or "").encode() for x in texts]
     sizes = np.array([len(x) for x in data], np.int64)
     starts = np.cumsum(sizes) - sizes
     flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
     out = np.full(len(data), BASIS, np.uint64)
-    for i in range(int(sizes.max(initial=0))):
-        at = np.flatnonzero(sizes > i)
+    i, at = 0, np.flatnonzero(sizes)
+    while len(at) >= 16:
         out[at] = (out[at] ^ flat[starts[at] + i]) * np.uint64(PRIME)
+        i += 1
+        at = at[sizes[at] > i]
+    for k in at.tolist():
+        h = int(out[k])
+        for byte in data[k][i:]:
+            h = (h ^ byte) * PRIME & 0xFFFFFFFFFFFFFFFF
+        out[k] = h
     return pd.Series([str(x) for x in out.tolist()])
 
 

@@ -34,10 +34,10 @@ def rarest(idf: DataFrame, most: int) -> DataFrame:
 
 
 def weighted(terms: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, token, weight): tf*idf scaled to length 1 in each document; the norm is aggregated, not windowed."""
+    """(key, token, weight): tf*idf scaled to length 1 in each document, which has its terms in one row once: no second join."""
     raw = terms.join(idf.select("token", "idf"), "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
+    held = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.collect_list(F.struct("token", "w")).alias("_w"))
+    return held.select(key, F.inline(F.transform("_w", lambda x: F.struct(x["token"].alias("token"), (x["w"] / F.col("_norm")).alias("weight")))))
 
 
 def rescue(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:

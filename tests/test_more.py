@@ -196,6 +196,21 @@ def test_codebook_files(spark, tmp_path):
             tables.read_codebook(spark, str(tmp_path / name)).collect()
 
 
+def test_fnv_of_many_lengths(spark):
+    """More texts than go on together, some far longer than the others."""
+    texts = ["", None, "é"] + ["x" * i + "y" for i in range(40)] + ["long " * 20_000, "z" * 50_000]
+
+    def plain(t):
+        h = content.BASIS
+        for b in (t or "").encode():
+            h = (h ^ b) * content.PRIME % (1 << 64)
+        return str(h)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = {r.i: r.d for r in rows.select("i", content.fnv1a(F.col("t")).alias("d")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_fnv(spark):
     rows = spark.createDataFrame([("",), ("a",), ("foobar",), (None,)], "t string")
     got = [r.d for r in rows.select(content.fnv1a(F.col("t")).alias("d")).collect()]
