@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions.bits import hamming
+from hashloom.sources.files import kept
 
 WIDTH = 64
 #: Tables, and keys of all tables that a row probes, at most.
@@ -109,7 +110,7 @@ def _grid(classes: DataFrame, index: Tables, cell: int) -> DataFrame:
 
 def candidates(classes: DataFrame, index: Tables, cell: int = CELL) -> DataFrame:
     """(hash, other, n, other_n) of distinct hashes (hash, n) within the radius that meet in a table, each pair once, hash < other."""
-    asking, kept = probing(classes, index), stored(classes.withColumnsRenamed({"hash": "other", "n": "other_n"}).withColumn("hash", F.col("other")), index).drop("hash")
+    asking, known = probing(classes, index), stored(classes.withColumnsRenamed({"hash": "other", "n": "other_n"}).withColumn("hash", F.col("other")), index).drop("hash")
     on = ["t", "key"]
     if classes.count() > cell:
         big = _grid(classes, index, cell)
@@ -117,10 +118,10 @@ def candidates(classes: DataFrame, index: Tables, cell: int = CELL) -> DataFrame
         part = lambda c, n: F.pmod(F.xxhash64(c), one(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), one(n) - 1))
         asking = asking.join(big, on, "left").withColumn("row", part("hash", "down")).withColumn("column", every("across")).drop("across", "down")
-        kept = kept.join(big, on, "left").withColumn("column", part("other", "across")).withColumn("row", every("down")).drop("across", "down")
+        known = known.join(big, on, "left").withColumn("column", part("other", "across")).withColumn("row", every("down")).drop("across", "down")
         on = [*on, "row", "column"]
     near = (F.col("hash") < F.col("other")) & (hamming(F.col("hash"), F.col("other")) <= index.radius)
-    return asking.join(kept, on).filter(near).filter(first_meeting(F.col("hash"), F.col("other"), F.col("t"), index)).select("hash", "other", "n", "other_n")
+    return asking.join(known, on).filter(near).filter(first_meeting(F.col("hash"), F.col("other"), F.col("t"), index)).select("hash", "other", "n", "other_n")
 
 
 def links(rows: DataFrame, index: Tables, cell: int = CELL) -> DataFrame:
@@ -128,7 +129,7 @@ def links(rows: DataFrame, index: Tables, cell: int = CELL) -> DataFrame:
 
     Counts are summed before the shuffle; no pairs are moved. A null hash has no links. No rows: no rows.
     """
-    classes = rows.filter("hash IS NOT NULL").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    classes = kept(rows.filter("hash IS NOT NULL").groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "classes")
     both = F.inline(F.array(F.struct(F.col("hash").alias("h"), F.col("other_n").alias("m")), F.struct(F.col("other").alias("h"), F.col("n").alias("m"))))
     met = candidates(classes, index, cell).select(both).groupBy(F.col("h").alias("hash")).agg(F.sum("m").alias("m"))
     counted = classes.join(met, "hash", "left").select("hash", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"))
