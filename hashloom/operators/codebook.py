@@ -8,10 +8,12 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
-from .chunks import bucket16, xor
+from .chunks import bucket16
 
 
 def words(data: Column) -> Column:
@@ -32,6 +34,28 @@ def byte_distance(a: Column, b: Column) -> Column:
     return words_distance(words(F.substring(a, F.lit(1), common)), words(F.substring(b, F.lit(1), common))) + 8 * F.abs(F.length(a) - F.length(b))
 
 
+def _number(data) -> int:
+    return int.from_bytes(data, "little")
+
+
+@F.pandas_udf(LongType())
+def far(a: pd.Series, b: pd.Series) -> pd.Series:
+    """byte_distance() of two byte strings, a batch at a time; null where one is null."""
+
+    def one(x, y):
+        n = min(len(x), len(y))
+        return (_number(x[:n]) ^ _number(y[:n])).bit_count() + 8 * (len(x) + len(y) - 2 * n)
+
+    return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+@F.pandas_udf(BinaryType())
+def xored(a: pd.Series, b: pd.Series) -> pd.Series:
+    """chunks.xor() of two byte strings as bytes, a batch at a time: a's bytes, each XORed with b's at its place; null where one is null."""
+    one = lambda x, y: (_number(x) ^ _number(y[: len(x)])).to_bytes(len(x), "little")
+    return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
 def similarity(distance: Column, bits: Column) -> Column:
     return F.when(bits == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - distance / bits))
 
@@ -82,12 +106,12 @@ def packed(rows: DataFrame, book: DataFrame, keys: list[str], worth: float = 0.2
     """
     distinct = rows.groupBy("data").agg(F.count(F.lit(1)).alias("_n")).select("data", bucket16(F.col("data")).alias("_bucket"))
     b = F.broadcast(book.select(bucket16(F.col("data")).alias("_bucket"), "id", F.col("data").alias("_pattern")))
-    far = words_distance(words(F.col("data")), words(F.col("_pattern")))
-    near = distinct.join(b, "_bucket", "left").groupBy("data").agg(F.min(F.struct(far.alias("distance"), "id", "_pattern")).alias("m"))
+    pairs = distinct.join(b, "_bucket", "left").withColumn("distance", far("data", "_pattern"))
+    near = pairs.groupBy("data").agg(F.min(F.struct("distance", "id", "_pattern")).alias("m"))
     alike = similarity(F.col("m.distance"), 8 * F.length("data"))
     decision = F.when(F.col("m.id").isNull() | (alike <= worth), "literal").when(alike > sure, "hit").otherwise("delta")
     told = near.select("data", decision.alias("decision"), "m.id", "m.distance", F.col("m._pattern").alias("_pattern"))
-    stored = F.when(F.col("decision") == "literal", F.col("data")).otherwise(F.unhex(xor(F.col("data"), F.col("_pattern"))))
+    stored = F.when(F.col("decision") == "literal", F.col("data")).otherwise(xored("data", "_pattern"))
     told = told.select("data", "decision", F.when(F.col("decision") != "literal", F.col("id")).alias("id"), "distance", stored.alias("stored"))
     return rows.join(told, "data").select(*keys, "data", "decision", "id", "distance", "stored")
 
@@ -95,7 +119,7 @@ def packed(rows: DataFrame, book: DataFrame, keys: list[str], worth: float = 0.2
 def rebuilt(stored: DataFrame, book: DataFrame) -> DataFrame:
     """stored (.., decision, id, stored) with the data again, from the stored bytes and the codebook."""
     b = F.broadcast(book.select("id", F.col("data").alias("_pattern")))
-    data = F.when(F.col("decision") == "literal", F.col("stored")).otherwise(F.unhex(xor(F.col("stored"), F.col("_pattern"))))
+    data = F.when(F.col("decision") == "literal", F.col("stored")).otherwise(xored("stored", "_pattern"))
     return stored.join(b, "id", "left").withColumn("data", data).drop("_pattern")
 
 
