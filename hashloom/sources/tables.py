@@ -117,5 +117,7 @@ def read_codebook(spark: SparkSession, path: str) -> DataFrame:
     head = raw.select("path", "length", "content", (F.substring("content", 1, 4) == F.lit(CODEBOOK)).alias("known"), number(5).alias("version"), number(9).alias("size"), number(13).alias("n"), number(17).alias("start"))
     fits = F.col("known") & (F.col("version") == VERSION) & (F.col("size") > 0) & (F.col("start") >= START) & (F.col("length") >= F.col("start") + F.col("size") * F.col("n"))
     checked = head.withColumn("content", F.when(fits, F.col("content")).otherwise(F.raise_error(F.lit("not a codebook, or it is cut off")).cast("binary")))
-    rows = checked.filter("n > 0").select("path", "content", "size", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("id"))
-    return rows.select("path", "id", F.substr("content", (F.col("start") + F.col("id") * F.col("size") + 1).cast("int"), F.col("size").cast("int")).alias("data"))
+    # patterns are sliced inside the row: no row carries the whole file for each of its patterns
+    at = lambda i: F.substr("content", (F.col("start") + i * F.col("size") + 1).cast("int"), F.col("size").cast("int"))
+    patterns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.struct(i.alias("id"), at(i).alias("data")))
+    return checked.filter("n > 0").select("path", F.inline(patterns))
