@@ -58,26 +58,40 @@ def discard(*written: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def sifted(rows: DataFrame, keys: list[str], members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows in two parts: those whose keys may be those of a row of members, and those whose keys surely are not.
+class KeyFilter:
+    """A written filter of keys: two bits of one 64-bit word for each member.
 
-    The filter has two bits of one word for each member. It grows with their number, up to FILTER_WORDS, and is
-    broadcast; a fuller filter only makes the first part larger. members: a written table, small rows.
+    It grows with the number of members, up to FILTER_WORDS words, and is broadcast; a fuller filter only lets more rows
+    pass. members: a written table, small rows.
     """
-    n = members.count()
-    if not n:
-        return rows.limit(0), rows
-    words = 64
-    while words < FILTER_WORDS and words * 64 < n * FILTER_BITS:
-        words *= 2
-    h, one = F.xxhash64(*keys), F.lit(1).cast("long")
-    word = F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(words - 1))
-    mask = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(63)).cast("int")))
-    at, bits = unused("_word", rows.columns), unused("_bits", rows.columns)
-    table = members.select(word.alias(at), mask.alias("mask")).groupBy(at).agg(F.bit_or("mask").alias(bits))
-    met = rows.withColumn(at, word).join(F.broadcast(materialize(table, "filter")), at, "left")
-    hit = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
-    return tuple(met.filter(x).select(*(F.col(f"`{c}`") for c in rows.columns)) for x in (hit, ~hit))
+
+    def __init__(self, members: DataFrame, keys: list[str]):
+        self.keys, self.n, self.words = keys, members.count(), 64
+        while self.words < FILTER_WORDS and self.words * 64 < self.n * FILTER_BITS:
+            self.words *= 2
+        if self.n:
+            word, mask = self._place()
+            self.table = materialize(members.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits")), "filter")
+
+    def _place(self):
+        h, one = F.xxhash64(*self.keys), F.lit(1).cast("long")
+        bit = lambda at: F.call_function("shiftleft", one, at.bitwiseAND(F.lit(63)).cast("int"))
+        return F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(self.words - 1)), bit(h).bitwiseOR(bit(F.shiftrightunsigned(h, 6)))
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows in two parts: those whose keys may be a member's, and those whose keys surely are not."""
+        if not self.n:
+            return rows.limit(0), rows
+        word, mask = self._place()
+        at, bits = unused("_word", rows.columns), unused("_bits", rows.columns)
+        met = rows.withColumn(at, word).join(F.broadcast(self.table.toDF(at, bits)), at, "left")
+        hit = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
+        return tuple(met.filter(x).select(*(F.col(f"`{c}`") for c in rows.columns)) for x in (hit, ~hit))
+
+
+def sifted(rows: DataFrame, keys: list[str], members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose keys may be those of a row of members, and those whose keys surely are not."""
+    return KeyFilter(members, keys).split(rows)
 
 
 def without(rows: DataFrame, keys: list[str], lost: DataFrame) -> DataFrame:

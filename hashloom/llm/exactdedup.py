@@ -1,10 +1,11 @@
 """Exact deduplication with a log-structured merge index.
 
-Tasks keep a memtable of text digests and flush it as a run sorted by digest. Compaction merges runs, and levels
-compacted before, into one level: a single sorted run, dealt over files by ranges of digests, with one identifier and a
-count for each digest, and with a filter of the digests that repeat. Rows ask the filter first; those that pass look
-their digest up in the level, and the identifier found there is the result once the texts behind the digest have been
-compared byte by byte. A digest behind which texts differ is split by text.
+Rows arrive in batches. Tasks keep a memtable of text digests and flush it as a run sorted by digest; the runs of a batch
+become one sorted run, dealt over files by ranges of digests, with one identifier and a count for each digest, and with a
+filter. Runs of about one size are compacted into a larger one, which keeps the smallest (or largest) identifier. A
+digest that occurs once in its run and that the filters of all other runs rule out is not moved again; the others are
+summed over the runs. Rows with a digest that repeats look it up, and the identifier found there is the result once the
+texts behind the digest have been compared byte by byte. A digest behind which texts differ is split by text.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, sifted, texts_of, with_row_key, without
+from .common import KeyFilter, discard, map_batches, materialize, sifted, texts_of, unused, with_row_key, without
 
 #: Entries of a memtable before it is flushed.
 MEMTABLE = 200_000
 
+#: Runs of one size class that are compacted into one, and batches in which a table is added.
+FANOUT, BATCHES = 2, 3
+
 _RUN = "run long, digest binary, best long, n long"
 
 
@@ -72,25 +76,99 @@ def compact(runs: DataFrame, keep: str, *levels: DataFrame) -> DataFrame:
     return merged.sortWithinPartitions("digest")
 
 
+class Run:
+    """A written sorted run of (digest, best, n) with its number of digests and its filter."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.filter = rows, KeyFilter(rows, ["digest"])
+        self.n = self.filter.n
+
+
+class DigestIndex:
+    """Sorted runs of digests, newest first. add() takes a batch of (doc_id, digest); no batch is read a second time.
+
+    Runs are compacted as soon as `fanout` neighbours are of one size class (sizes within a factor of `fanout`), so
+    there are some log(digests) runs, and a digest is rewritten as often at most. An empty batch makes no run.
+    """
+
+    def __init__(self, keep: str = "min", memtable: int = MEMTABLE, fanout: int = FANOUT):
+        self.keep, self.memtable, self.fanout, self.runs = keep, memtable, fanout, []
+
+    def add(self, digests: DataFrame) -> None:
+        flushed = materialize(flush_runs(digests, self.keep, self.memtable), "runs")
+        run = Run(materialize(compact(flushed, self.keep), "level"))
+        discard(flushed)
+        if run.n:
+            self.runs.insert(0, run)
+        while len(alike := self._alike()) >= self.fanout:
+            merged = Run(materialize(compact(alike[0].rows, self.keep, *(r.rows for r in alike[1:])), "level"))
+            discard(*(r.rows for r in alike))
+            self.runs = [merged, *self.runs[len(alike) :]]
+
+    def _alike(self) -> list[Run]:
+        """The newest runs, as long as the next one is less than `fanout` times as large as the newest."""
+        alike = self.runs[:1]
+        for run in self.runs[1:]:
+            if run.n >= self.fanout * alike[0].n:
+                break
+            alike.append(run)
+        return alike
+
+    def entries(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """Entries (digest, best, n) in two parts: those that other runs may hold too, or whose digest occurs more than
+        once; and those that the other runs' filters rule out. None: no runs."""
+        shared, alone = [], []
+        for run in self.runs:
+            rest = run.rows.filter("n = 1")
+            shared.append(run.rows.filter("n > 1"))
+            for other in self.runs:
+                if other is not run:
+                    maybe, rest = other.filter.split(rest)
+                    shared.append(maybe)
+            alone.append(rest)
+        return tuple(_union(x) if x else None for x in (shared, alone))
+
+    def repeats(self) -> DataFrame | None:
+        """(digest, best, n) of digests with n > 1 over all runs; None: no runs."""
+        shared, _ = self.entries()
+        if shared is None:
+            return None
+        best = F.max("best") if self.keep == "max" else F.min("best")
+        return shared.groupBy("digest").agg(best.alias("best"), F.sum("n").alias("n")).filter("n > 1")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def lookup(digests: DataFrame, level: DataFrame) -> DataFrame:
     """Rows of digests with what a level knows of their digest: known_id and known_n (null: nothing)."""
     known = level.select("digest", F.col("best").alias("known_id"), F.col("n").alias("known_n"))
     return digests.join(known.hint("merge"), "digest", "left")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memtable: int = MEMTABLE, carry: tuple[str, ...] = ()) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memtable: int = MEMTABLE, carry: tuple[str, ...] = (), batches: int = BATCHES) -> DataFrame:
     """One row per row of docs: doc_id, digest, keep_id, group_size, kept, text_sha256, and the columns named by carry.
 
     Texts are equal if their bytes are; null counts as empty, and empty texts form one group. keep: min or max, of
     doc_id. Rows that repeat a doc_id are one document and share its fate, though each counts in group_size. A null
-    doc_id never wins over another. keep_id and group_size are what the index holds for a row's digest; rows whose
-    digest occurs once are not looked up. digest_bytes below 32 only serves tests of collisions.
+    doc_id never wins over another. The index takes docs in `batches` batches. keep_id and group_size are what it holds
+    for a row's digest; rows whose digest occurs once are not looked up. digest_bytes below 32 only serves tests of collisions.
     """
     sha = F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
     cut, more = F.substring(sha, 1, digest_bytes), carry
-    digests = materialize(texts_of(docs, *more).select("doc_id", *more, sha.alias("sha")).withColumn("digest", F.substring("sha", 1, digest_bytes)), "digests")
-    level = materialize(compact(materialize(flush_runs(digests, keep, memtable), "runs"), keep), "level")
-    repeats = materialize(level.filter("n > 1"), "repeats")
+    arrival = unused("_batch", ["doc_id", *more, "sha", "digest"])
+    rows = texts_of(docs, *more).select("doc_id", *more, sha.alias("sha"), (F.monotonically_increasing_id() % batches).alias(arrival))
+    numbered = materialize(rows.withColumn("digest", F.substring("sha", 1, digest_bytes)), "digests")
+    index = DigestIndex(keep, memtable)
+    for i in range(batches):
+        index.add(numbered.filter(F.col(arrival) == i))
+    digests = numbered.drop(arrival)
+    found = index.repeats()
+    repeats = materialize(found if found is not None else digests.select("digest", F.col("doc_id").alias("best"), F.lit(1).cast("long").alias("n")), "repeats")
 
     # byte verification: a task sends each text that may repeat once; digests behind which texts differ are few or none
     texts, _ = sifted(texts_of(docs, *more).select("doc_id", *more, "text", sha.alias("sha"), cut.alias("digest")), ["digest"], repeats)
