@@ -333,6 +333,39 @@ def test_training_lowers_the_loss():
     assert loss(start) > 0.6 and loss(end) < 0.3
 
 
+def _letters(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+
+def test_every_labelled_row_counts(spark):
+    """4,000 toxic and 4,000 clean rows, each with a word of its own: whether it has been learnt shows in that word's log odds."""
+    rows = [(i, f"q{_letters(i)} or the {'vile' if i % 2 else 'kind'} and", "en") for i in range(8000)] + [(9001, "", "en"), (9002, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i, *_ in rows], "doc_id long, toxic int")
+    crc = lambda i: zlib.crc32(str(i).encode())
+    mine = [i for i in range(8000) if crc(i) % 4 != 2 and crc(i) >> 2 & 3 != 3]
+    assert len(mine) > 4000
+    number = {r.doc_id: r.n for r in docs.select("doc_id", F.element_at(toxicity.words(F.col("text")), 1).alias("n")).filter("doc_id < 9000").collect()}
+    many = {n for n, k in Counter(number.values()).items() if k > 1}
+    alone = [i for i in mine if number[i] not in many]
+    counted = toxicity.fit(docs, labels, epochs=0).embedding
+    odds = {0: np.log(0.3) - np.log(1.3), 1: np.log(1.3) - np.log(0.3)}
+    assert all(abs(counted[number[i], 0] - odds[i % 2] / 3) < 0.05 for i in alone)
+    others = [i for i in range(8000) if crc(i) % 4 == 2 and number[i] not in many]
+    assert not counted[[number[i] for i in others], 0].any()
+    # the same model to the last bit, however the rows are dealt
+    one, other = (toxicity.fit(d, labels, epochs=1) for d in (docs, docs.repartition(7, "text")))
+    assert (one.embedding == other.embedding).all() and (one.out == other.out).all() and one.scale == other.scale and one.thresholds == other.thresholds
+    assert 0 < np.abs(one.embedding - counted).max()
+
+
+def test_calibration_of_scores_far_apart():
+    raw, y, n = np.array([-20.0, -6.0, 5.0, 30.0]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([900.0, 2.0, 3.0, 95.0])
+    a, b = toxicity.platt(raw, y, n)
+    p = 1 / (1 + np.exp(-(a * raw + b)))
+    assert abs((n * (p - y)).sum()) < 0.01 and abs((n * (p - y) * raw).sum()) < 0.1
+
+
 def test_toxicity_without_labels(spark, docs, none):
     table = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, table).filter("predicted = 1").count() == 0
