@@ -102,12 +102,12 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 
     def tasks(batches):
         counts = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for data, wide in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = np.bincount(_unpack(data, wide))
-                if len(own) > len(counts):
-                    counts = np.pad(counts, (0, len(own) - len(counts)))
-                counts[: len(own)] += own
+        for b in filter(len, batches):
+            # all rows of a slice at once: a count has as many places as the largest id
+            own = np.bincount(np.concatenate([_unpack(data, wide) for data, wide in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]))
+            if len(own) > len(counts):
+                counts = np.pad(counts, (0, len(own) - len(counts)))
+            counts[: len(own)] += own
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids])], names=["id", "n"])
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hashloom.llm import exactdedup, linededup, media, packing, sentencepieces, sharding, simhash, tokenio, toxicity, warc
 from hashloom.llm.components import components
+from hashloom.llm.pieces import PieceEncoder, Recent
 
 from .data import EXTRA, by_id, documents, texts
 
@@ -704,3 +705,29 @@ def test_components(spark):
 
 def test_simhash_empty(none):
     assert simhash.near_duplicates(none).collect() == []
+
+
+def test_new_words_cost_no_pass_over_all_known():
+    class Known(Recent):
+        passes = 0
+
+        def __iter__(self):
+            Known.passes += 1
+            return super().__iter__()
+
+    known = Known(1000)
+    known.learn(["a", "b"], [b"1", b"2"])
+    assert sorted(known.missing(iter(["a", "c", "b", "c"]))) == ["c"] and not known.missing(["a"]) and not Known.passes
+
+
+def test_words_of_byte_pieces_in_small_chunks():
+    whole = library(BYTE)
+    data = [*texts(6, 50), "it's 'sun' we'll'd 've  x\n\n y \u00e9t\u00e9's 12 a1b \xa0 \xb2\u00aa", "", "'", "\t'S 'll''re", "a\0b", "\u4e2d \u00e9"]
+    for size in (1, 300, 1 << 18):
+        assert [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(BYTE, chunk_bytes=size).encode(data)] == list(map(whole, data))
+
+
+def test_ids_counted_a_slice_at_a_time(spark):
+    rows = [(i, np.array([i % 7, 70_000 * (i % 2), 5], "<u4").tobytes(), True) for i in range(40)] + [(99, np.array([3, 3], "<u2").tobytes(), False)]
+    got = {r.id: r.n for r in tokenio.id_counts(spark.createDataFrame(rows, "doc_id long, ids binary, wide boolean")).collect()}
+    assert got == Counter(x for i in range(40) for x in (i % 7, 70_000 * (i % 2), 5)) + Counter([3, 3])
