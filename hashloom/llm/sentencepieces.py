@@ -96,27 +96,45 @@ class SharedPrefixes:
         self.scores, self.unigram, self.entries, self.merges = scores, unigram, entries, Merges(scores)
         self.longest = max(map(len, scores), default=1)
         self.fits: dict[tuple[str, str], bool] = {}
+        self.fitted: dict[tuple[str, str], bool] = {}  # set aside when there were many
+        self.starts = {""}.union(p[:k] for p in scores for k in range(1, len(p) + 1))
+        self.ends: dict[str, tuple[str, list[tuple[int, str]]]] = {}
         self.floor = min(scores.values(), default=0.0) - 10.0
 
     def _follows(self, before: str, piece: str) -> bool:
         key = (before, piece)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= self.entries:
-                self.fits.clear()
-            known = self.fits[key] = self.merges.parts(before + piece) == ([before, piece] if before else [piece])
+            if len(self.fits) >= self.entries // 2:
+                self.fits, self.fitted = {}, self.fits
+            known = self.fitted.get(key)
+            if known is None:
+                known = self.merges.parts(before + piece) == ([before, piece] if before else [piece])
+            self.fits[key] = known
         return known
 
+    def _end(self, tail: str) -> tuple[str, list[tuple[int, str]]]:
+        """Of a tail (what a prefix ends with that a piece begins with, and one more character): its own longest end that a piece
+        begins with, and the pieces that end it, longest first, at last its last character. No other piece can end the prefix."""
+        if len(self.ends) >= self.entries:
+            self.ends.clear()
+        node = tail
+        while node not in self.starts:
+            node = node[1:]
+        n = len(tail)
+        found = self.ends[tail] = node, [(n - j, tail[j:]) for j in range(n) if j == n - 1 or tail[j:] in self.scores]
+        return found
+
     def segment(self, words: list[str]) -> list[list[str]]:
         """Pieces of each word; words ascending. A character that is no piece stands alone."""
-        scores, longest, out, before = self.scores, self.longest, [], ""
+        scores, longest, out, before, ends, follows = self.scores, self.longest, [], "", self.ends, self._follows
         last: list[str] = [""]
-        total = [0.0]
+        tails, total = [""], [0.0]
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], total[shared + 1 :], tails[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 if self.unigram:
                     best, pick = None, ""
@@ -128,9 +146,11 @@ class SharedPrefixes:
                     total.append(best)
                     last.append(pick)
                 else:
-                    for k in range(min(i, longest), 0, -1):
-                        piece = word[i - k : i]
-                        if (k == 1 or piece in scores) and self._follows(last[i - k], piece):
+                    tail = tails[-1] + word[i - 1]
+                    node, pieces = ends.get(tail) or self._end(tail)
+                    tails.append(node)
+                    for k, piece in pieces:
+                        if follows(last[i - k], piece):
                             last.append(piece)
                             break
                     else:
@@ -220,7 +240,10 @@ class MarkedEncoder:
         self.chunk_chars, self.known = chunk_chars, Recent(entries)
 
     def _pack(self, pieces: list[str]) -> bytes:
-        ids = []
+        try:
+            return array("I", [self.ids[p] for p in pieces]).tobytes()
+        except KeyError:
+            ids = []
         for p in pieces:
             own = self.ids.get(p)
             if own is None:

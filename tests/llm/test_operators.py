@@ -707,6 +707,28 @@ def test_simhash_empty(none):
     assert simhash.near_duplicates(none).collect() == []
 
 
+def test_known_ends_of_words_look_nothing_up():
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=PIECE)
+    scores = Counted({sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))})
+    words = sorted({"\u2581" + w for t in texts(5, 200) for w in t.split()} | {"\u2581\u4e2d\u4e2dx\u00e9", "aaaaaaa", "\u2581" + "thatnd" * 40})
+    trie = sentencepieces.SharedPrefixes(scores, entries=4000)
+    assert trie.segment(words) == [trie.merges.parts(w) for w in words]
+    before = Counted.asked
+    assert trie.segment(words) == [trie.merges.parts(w) for w in words]
+    assert Counted.asked - before < sum(map(len, words)) / 2
+    assert len(trie.fits) <= 2000 and len(trie.fitted) <= 2000 and len(trie.ends) <= 4000
+    assert sentencepieces.SharedPrefixes({}).segment(["ab"]) == [["a", "b"]]
+
+
 def test_new_words_cost_no_pass_over_all_known():
     class Known(Recent):
         passes = 0
