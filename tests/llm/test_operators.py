@@ -753,3 +753,36 @@ def test_ids_counted_a_slice_at_a_time(spark):
     rows = [(i, np.array([i % 7, 70_000 * (i % 2), 5], "<u4").tobytes(), True) for i in range(40)] + [(99, np.array([3, 3], "<u2").tobytes(), False)]
     got = {r.id: r.n for r in tokenio.id_counts(spark.createDataFrame(rows, "doc_id long, ids binary, wide boolean")).collect()}
     assert got == Counter(x for i in range(40) for x in (i % 7, 70_000 * (i % 2), 5)) + Counter([3, 3])
+
+
+def test_words_are_looked_up_once_a_chunk():
+    class Counted(Recent):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    text = "It's the same words, été 123 again;\n" * 500
+    for path in (BYTE, WORD):
+        encoder = PieceEncoder(path)
+        encoder.known, Counted.asked = Counted(1000), 0
+        assert np.frombuffer(b"".join(encoder.encode([text, text])), "<u4").tolist() == library(path)(text) * 2
+        assert Counted.asked < 100
+
+
+def test_parts_of_texts_against_the_library():
+    """No pre-token spans two parts, whatever stands side by side; letters that fold to others out of the range go to the library."""
+    rng = random.Random(8)
+    some = ["a", "the", "'s", "'re", "'", "''", "ll", " ", "  ", "\n", "\t", "\xa0", "1", "23", "\xb2", ".", ",", "é", "ß", "ɏ", "İ", "Ƀ", "Ⱥ", "Ɓ", "\xaa", "\xd7", "\0", "\x7f", "中"]
+    data = ["".join(rng.choices(some if i % 4 else some[:20], k=rng.randint(0, 20))) for i in range(3000)] + ["aƁb", "xȺy"]
+    for path in (BYTE, WORD):
+        assert [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(path, entries=500, chunk_bytes=2000).encode(data)] == list(map(library(path), data))
