@@ -122,6 +122,13 @@ def test_packing(docs, rows):
     assert n <= -(-sum(r.length for r in got) // 256) + 1
 
 
+def test_packing_of_letters_folded_out_of_the_range(spark):
+    """A text's ids are the library's also where its capitals have small letters of another block."""
+    data = ["aƁb Ɣ, ȺxȾ", "plain words, It's", "İ ɄɅ ƁƁ"]
+    found = packing.pack(documents(spark, list(enumerate(data))), WORD).orderBy("doc_id").collect()
+    assert [(r.length, r.ids_crc32) for r in found] == [(len(x) + 1, packed(x + [0])) for x in map(library(WORD), data)]
+
+
 def test_packing_empty(none):
     assert packing.pack(none, WORD).collect() == []
 
