@@ -70,6 +70,16 @@ def parts_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
     return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]), np.searchsorted(at, ends)
 
 
+def gathered(which: np.ndarray, values: list[bytes], bounds: np.ndarray) -> list[bytes]:
+    """Packed ids of each text from those of the distinct parts: which says which each part is, bounds how many parts come before each text."""
+    sizes = np.array(list(map(len, values)), np.int64) // 4
+    own = sizes[which]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    ids = np.frombuffer(b"".join(values), "<u4")[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], own) + np.arange(ends[-1])]
+    at, data = (4 * ends[bounds]).tolist(), ids.tobytes()
+    return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
 def byte_alphabet() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -176,13 +186,8 @@ class PieceEncoder:
         parts, bounds = parts_of([p.encode() if ok else b"" for p, ok in zip(plain, usual, strict=True)])
         parts = parts.dictionary_encode()
         values = self.known.values_of(parts.dictionary.to_pylist(), self._parts)
-        # each part's ids side by side, gathered from those of the distinct parts
-        sizes, which = np.array(list(map(len, values)), np.int64) // 4, parts.indices.to_numpy()
-        own = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], own) + np.arange(ends[-1])]
-        at, data = (4 * ends[bounds]).tolist(), ids.tobytes()
-        return [data[i:j] if ok else self._whole([t])[0] for t, i, j, ok in zip(texts, at, at[1:], usual, strict=False)]
+        ids = gathered(parts.indices.to_numpy(), values, bounds)
+        return [i if ok else self._whole([t])[0] for t, i, ok in zip(texts, ids, usual, strict=True)]
 
     def encode(self, texts):
         """Packed ids of each text, in order; texts are taken some megabytes at a time."""

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with a forward pass shared by common prefixes.
 
 A text becomes marked words (white-space marks in front), each encoded by itself: no piece has a mark behind another
-character. The distinct words of a chunk are sorted, which makes their trie's depth-first order; the forward state of
+character. With a merge vocabulary a word is also cut between two characters that stand side by side in no piece: no
+merge can span them. The distinct words of a chunk are sorted, which makes their trie's depth-first order; the forward state of
 a prefix is computed once and kept on a stack while words share it. In a unigram vocabulary the state is the best sum
 of scores (Viterbi). In a merge vocabulary a prefix has exactly one last piece: the one that, with the last piece of
 the prefix before it, merges back to just these two; the walk back along last pieces gives the merged result.
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
-from .pieces import Recent, worker_encoder
+from .pieces import Recent, gathered, worker_encoder
 
 MARK = "▁"
+#: Characters below NEAR are told apart where words are cut; NEAR is the mark's number there, FAR that of all others.
+NEAR, FAR = 0x250, 0x251
 
 
 class Merges:
@@ -129,7 +132,7 @@ class SharedPrefixes:
         """Pieces of each word; words ascending. A character that is no piece stands alone."""
         scores, longest, out, before, ends, follows = self.scores, self.longest, [], "", self.ends, self._follows
         last: list[str] = [""]
-        tails, total = [""], [0.0]
+        tails, total, fits = [""], [0.0], self.fits
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
@@ -150,7 +153,10 @@ class SharedPrefixes:
                     node, pieces = ends.get(tail) or self._end(tail)
                     tails.append(node)
                     for k, piece in pieces:
-                        if follows(last[i - k], piece):
+                        fit = fits.get((last[i - k], piece))
+                        if fit is None:
+                            fit, fits = follows(last[i - k], piece), self.fits
+                        if fit:
                             last.append(piece)
                             break
                     else:
@@ -235,10 +241,39 @@ class MarkedEncoder:
             elif kinds[i]:
                 self.plain[i] = b""
         used = set("".join(self.ids))
-        apart = "".join(re.escape(c) for c in "\n\t" if c not in used)
-        self.words = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + (f"|[{apart}]" if apart else ""))
+        # of two characters side by side, whether a word may go on: those up to U+024F as they are, the mark, any other
+        self.kind = np.full(ord(MARK) + 2, FAR, np.uint16)
+        self.kind[:NEAR], self.kind[ord(MARK)] = range(NEAR), NEAR
+        joined = np.ones((FAR + 1, FAR + 1), bool)
+        if not self.trie.unigram:
+            joined[:FAR, :FAR] = False
+            for a, b in {x for p in self.ids for x in zip(p, p[1:], strict=False)}:
+                joined[self._kind(a), self._kind(b)] = True
+        joined[:NEAR, NEAR] = joined[FAR, NEAR] = False
+        apart = [ord(c) for c in "\n\t" if c not in used]
+        joined[apart], joined[:, apart] = False, False
+        self.ends = ~joined.reshape(-1)
         self.chunk_chars, self.known = chunk_chars, Recent(entries)
 
+    def _kind(self, char: str) -> int:
+        return int(self.kind[min(ord(char), len(self.kind) - 1)])
+
+    def _words(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """Words of all texts, and of each text, how many come before it (at last, all)."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        bounds, marked = np.cumsum([0, *map(len, marked)]), "".join(marked)
+        if not marked:
+            return pa.array([], pa.string()), np.zeros(len(bounds), np.int64)
+        chars = np.frombuffer(marked.encode("utf-32-le"), "<u4")
+        kind = self.kind[np.minimum(chars, len(self.kind) - 1)].astype(np.int32)
+        begins = np.ones(len(chars) + 1, bool)
+        begins[1:-1] = self.ends[kind[:-1] * (FAR + 1) + kind[1:]]
+        begins[bounds] = True
+        at = np.flatnonzero(begins)
+        width = (chars >= 0x80).astype(np.uint8) + (chars >= 0x800) + (chars >= 0x10000) + np.uint8(1)
+        places = np.concatenate([np.zeros(1, np.int32), np.cumsum(width, dtype=np.int32)])[at]
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(places), pa.py_buffer(marked.encode())), np.searchsorted(at, bounds)
+
     def _pack(self, pieces: list[str]) -> bytes:
         try:
             return array("I", [self.ids[p] for p in pieces]).tobytes()
@@ -252,15 +287,17 @@ class MarkedEncoder:
                 ids.append(own)
         return array("I", ids).tobytes()
 
-    def _chunk(self, texts: list[str]) -> list[bytes]:
-        split = [self.words.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
-        new = self.known.missing(set().union(*split))
+    def _new(self, words: list[str]) -> list[bytes]:
         # marks of equal score merge from the left, which a prefix alone cannot tell: few distinct words begin with two
-        double = [w for w in new if w.startswith(MARK * 2) and not self.trie.unigram]
-        single = sorted(w for w in new if self.trie.unigram or not w.startswith(MARK * 2))
-        pieces = list(map(self.trie.merges.parts, double)) + self.trie.segment(single)
-        get = self.known.learn(double + single, map(self._pack, pieces))
-        return [b"".join(map(get, s)) for s in split]
+        parts = {w: self.trie.merges.parts(w) for w in words if w.startswith(MARK * 2) and not self.trie.unigram}
+        single = sorted(w for w in words if w not in parts)
+        parts.update(zip(single, self.trie.segment(single), strict=True))
+        return [self._pack(parts[w]) for w in words]
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        words, bounds = self._words(texts)
+        words = words.dictionary_encode()
+        return gathered(words.indices.to_numpy(), self.known.values_of(words.dictionary.to_pylist(), self._new), bounds)
 
     def encode(self, texts):
         held, size = [], 0

@@ -793,3 +793,27 @@ def test_parts_of_texts_against_the_library():
     data = ["".join(rng.choices(some if i % 4 else some[:20], k=rng.randint(0, 20))) for i in range(3000)] + ["aƁb", "xȺy"]
     for path in (BYTE, WORD):
         assert [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(path, entries=500, chunk_bytes=2000).encode(data)] == list(map(library(path), data))
+
+
+def test_words_are_cut_where_no_piece_spans():
+    """A word beside different marks is segmented once, and looked up once a chunk; ids are the library's also around characters that are not told apart."""
+    from sentencepiece import SentencePieceProcessor
+
+    class Counted(Recent):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    sp, encoder, met = SentencePieceProcessor(model_file=PIECE), sentencepieces.MarkedEncoder(PIECE), []
+    encoder.known, segment = Counted(10_000), encoder.trie.segment
+    encoder.trie.segment = lambda words: met.extend(words) or segment(words)
+    ids = lambda data: [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(data)]
+    text = " ".join(f"thestrongest{a}{b}{c}" for a in ".,;:!?" for b in ")]." for c in "\n'-") * 20
+    assert ids([text, text]) == [sp.encode(text)] * 2
+    assert sum("strongest" in w for w in met) <= 3 and Counted.asked < 200
+    rng = random.Random(9)
+    some = ["a", "the", "ing", "'s", " ", "  ", "\n", "\t", "\xa0", "12", ".", ",", "...", "é", "ɏ", "ɐ", "中", "国", "Д", "о", "😀", "▁", "▁▁", "(", "́", "\0", *(sp.id_to_piece(i) for i in range(300, 30_000, 997))]
+    data = ["".join(rng.choices(some, k=rng.randint(0, 16))) for _ in range(3000)]
+    assert ids(data) == list(map(sp.encode, data))
