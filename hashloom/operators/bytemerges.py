@@ -1,16 +1,19 @@
-"""Merges over bytes: learnt from whole texts in Spark, one pair to the driver a round; texts in their ids, and read back."""
+"""Merges over bytes: learnt from whole texts in Spark, pairs' counts alone to the driver; texts in their ids, and read back."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What parts the texts of a batch: no id.
-GAP = -1
+from .pairs import CUT, GAP, binary, column_of, learn, merged, rows_of, spaced
+
+#: Bytes of texts that are cut into words at once about.
+TEXTS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -28,116 +31,112 @@ CODEBOOK = Rules(longest=128, least=2)
 MODEL = Rules(first=259, special=("[PAD]", "[MASK]", "[UNK]"))
 
 
-def met(ids: np.ndarray, left: int, right: int) -> np.ndarray:
-    """Where the pair begins, from the left on: of overlapping pairs (left = right) every second."""
-    at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
-    if left == right and len(at):
-        begins = np.r_[True, np.diff(at) > 1]
-        at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]
-    return at
-
-
-def merged(ids: np.ndarray, times: np.ndarray, new: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """ids with each new (left, right, id) put in, one merge after the other; times loses the same places."""
-    for left, right, made in new:
-        at = met(ids, left, right)
-        if len(at):
-            ids = ids.copy()
-            ids[at] = made
-            ids, times = np.delete(ids, at + 1), np.delete(times, at + 1)
-    return ids, times
-
-
-def _joined(data) -> np.ndarray:
-    """The ids of several texts, with a GAP behind each."""
-    return np.concatenate([np.zeros(0, np.int32), *(np.append(np.frombuffer(x, "<i4"), GAP) for x in data)]).astype(np.int32)
-
+def _codes(values: np.ndarray):
+    """(place, left * 256 + right) of each two bytes that stand side by side, some at once."""
+    for i in range(0, len(values) - 1, CUT):
+        part = values[i : i + CUT + 1]
+        yield i, part[:-1].astype(np.uint16) << 8 | part[1:]
 
-def _parted(flat: np.ndarray) -> list[bytes]:
-    ends = np.flatnonzero(flat == GAP)
-    return [flat[a:b].astype("<i4").tobytes() for a, b in zip(np.r_[0, ends[:-1] + 1], ends, strict=True)] if len(ends) else []
 
+def _byte_pairs(raw: DataFrame) -> np.ndarray:
+    """How often each two bytes stand side by side in a text, at their number left * 256 + right."""
 
-def _start(texts: DataFrame, text: str) -> DataFrame:
-    """(ids, n): the bytes of each distinct text as ids, packed in 32 bits, and how often it occurs."""
+    def run(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for values, ends in rows_of(b.column(0)):
+                for _, code in _codes(values):
+                    total += np.bincount(code, minlength=len(total))
+                inner = ends[(ends > 0) & (ends < len(values))]  # pairs between two texts; a text has a byte at least
+                total -= np.bincount(values[inner - 1].astype(np.int64) << 8 | values[inner], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["code", "n"])
 
-    @F.pandas_udf("binary")
-    def widened(data: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, np.uint8).astype("<i4").tobytes() for x in data])
-
-    data = F.encode(F.col(text), "UTF-8").alias("data")
-    return texts.filter(F.length(text) > 0).select(data).groupBy("data").agg(F.count(F.lit(1)).alias("n")).select(widened("data").alias("ids"), "n")
-
-
-def _flat(frame: pd.DataFrame, new: list) -> tuple[np.ndarray, np.ndarray]:
-    """A batch's ids after the new merges, and for each how often its text occurs."""
-    ids = _joined(frame["ids"])
-    return merged(ids, np.repeat(frame["n"].to_numpy(np.int64), [len(x) // 4 + 1 for x in frame["ids"]]), new)
+    out = np.zeros(1 << 16, np.int64)
+    for r in raw.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r["code"]] = r["n"]
+    return out
 
 
-def _after(rows: DataFrame, new: list) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"ids": _parted(_flat(f, new)[0]), "n": f["n"]})
+def _cut(values: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> pa.Array:
+    """Texts cut into words between any two bytes whose pair is not inside."""
+    last = np.zeros(len(values), bool)
+    for i, code in _codes(values):
+        last[i : i + len(code)] = ~inside[code]
+    last[ends[ends > 0] - 1] = True
+    return binary(np.r_[0, np.flatnonzero(last) + 1], values)
 
-    return rows.mapInPandas(run, "ids binary, n long")
 
+def _words(raw: DataFrame, inside: np.ndarray, done: list) -> DataFrame:
+    """(ids, n): the distinct words of all texts, merged as far as done, and how often they occur."""
 
-def _pairs(rows: DataFrame, new: list) -> DataFrame:
-    """(l, r, n) over all texts after the new merges; a batch sends each of its pairs once."""
+    def cut(batches):
+        for b in batches:
+            for values, ends in rows_of(b.column(0), TEXTS):
+                each = pc.value_counts(_cut(values, ends, inside))
+                yield pa.RecordBatch.from_arrays([each.field(0), each.field(1)], names=["data", "n"])
 
-    def run(frames):
-        for f in frames:
-            ids, times = _flat(f, new)
-            both = np.flatnonzero((ids[:-1] != GAP) & (ids[1:] != GAP))
-            pair, at = np.unique(ids[both].astype(np.int64) << 32 | ids[both + 1], return_inverse=True)
-            n = np.zeros(len(pair), np.int64)
-            np.add.at(n, at, times[both])
-            yield pd.DataFrame({"l": pair >> 32, "r": pair & 0xFFFFFFFF, "n": n})
+    def widened(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([column_of([merged(spaced(*x), done) for x in rows_of(b.column(0))]), b.column(1)], names=["ids", "n"])
 
-    return rows.mapInPandas(run, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
+    return raw.mapInArrow(cut, "data binary, n long").groupBy("data").agg(F.sum("n").alias("n")).mapInArrow(widened, "ids binary, n long")
 
 
 def train(texts: DataFrame, text: str, merges: int, rules: Rules = CODEBOOK, every: int = 8) -> list[tuple[int, int, int, int]]:
     """(id, left, right, count) of each merge, the commonest pair first, ties by the smaller ids; fewer if no pair is left that the rules allow.
 
-    Pairs do not reach from one text into the next; null and empty texts have none. Each round is one job over all
-    texts, and one pair comes to the driver; the ids are kept anew every few rounds.
+    Pairs do not reach from one text into the next; null and empty texts have none. Texts are cut into words between
+    bytes that seldom stand side by side: symbols on either side of a cut are no commoner there than the two bytes. So
+    the distinct words tell every merge that is commoner than the commonest cut; for others they are cut more rarely.
     """
-    kept, size = _start(texts, text).persist(), {k: 1 for k in range(256)}
-    out, new = [], []
-    try:
-        for made in range(rules.first, rules.first + merges):
-            if len(new) == every:
-                older, kept, new = kept, _after(kept, new).persist(), []
-                kept.count()
-                older.unpersist()
-            pairs = _pairs(kept, new).filter(F.col("n") >= rules.least)
-            if rules.longest and any(n > 1 for n in size.values()):
-                sizes = F.create_map(*(F.lit(x) for item in size.items() if item[1] > 1 for x in item))
-                pairs = pairs.filter(F.coalesce(F.try_element_at(sizes, F.col("l").cast("int")), F.lit(1)) + F.coalesce(F.try_element_at(sizes, F.col("r").cast("int")), F.lit(1)) <= rules.longest)
-            elif rules.longest == 1:
-                break
-            best = pairs.orderBy(F.desc("n"), "l", "r").first()
-            if best is None:
-                break
-            out.append((made, best["l"], best["r"], best["n"]))
-            size[made] = size[best["l"]] + size[best["r"]]
-            new.append((best["l"], best["r"], made))
-    finally:
-        kept.unpersist()
+    raw = texts.filter(F.length(text) > 0).select(F.encode(F.col(text), "UTF-8").alias("data"))
+    beside = _byte_pairs(raw)
+    size, out = {k: 1 for k in range(256)}, []
+
+    def make(left: int, right: int) -> tuple[int, bool]:
+        made = rules.first + len(size) - 256
+        size[made] = size[left] + size[right]
+        return made, True
+
+    allowed = (lambda left, right: size[left] + size[right] <= rules.longest) if rules.longest else None
+    cut = int(np.sort(beside)[::-1][min(merges, len(beside)) - 1]) // 2 if merges else 0
+    while len(out) < merges:
+        words = _words(raw, beside > cut, [(left, right, made) for made, left, right, _ in out])
+        more, whole = learn(words, merges - len(out), int, int, make, allowed, rules.least, cut, every)
+        out += [(rules.first + k, *x) for k, x in enumerate(more, len(out))]
+        if whole:
+            break
+        cut //= 8
     return out
 
 
 def encode(text: Column, merges: list[tuple[int, int, int, int]]) -> Column:
-    """Ids of the whole text: all merges in the order they were learnt. Null and empty texts have none."""
-    new = [(left, right, made) for made, left, right, _ in merges]
+    """Ids of the whole text: all merges in the order they were learnt. Null and empty texts have none.
 
-    @F.pandas_udf("array<int>")
-    def ids(data: pd.Series) -> pd.Series:
-        flat = _joined([np.frombuffer(x, np.uint8).astype("<i4").tobytes() for x in data])
-        flat, _ = merged(flat, flat, new)
-        return pd.Series([np.frombuffer(x, "<i4") for x in _parted(flat)])
+    No merge reaches over two bytes that no merge brings together: texts are cut there, and a word that repeats is merged once a batch.
+    """
+    names, new = table(merges), [(left, right, made) for made, left, right, _ in merges]
+    inside = np.zeros(1 << 16, bool)
+    for left, right, _ in new:
+        inside[names[left][-1] << 8 | names[right][0]] = True
+
+    @F.arrow_udf("array<int>")
+    def ids(data: pa.Array) -> pa.Array:
+        sizes, parts = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        for values, ends in rows_of(data, TEXTS):
+            words = _cut(values, ends, inside)
+            upto = np.frombuffer(words.buffers()[1], np.int32)[1 : len(words) + 1]
+            coded = words.dictionary_encode()
+            flat = np.concatenate([np.zeros(0, np.int32), *(merged(spaced(*x), new) for x in rows_of(coded.dictionary))])
+            stops = np.flatnonzero(flat == GAP)
+            starts, at = np.r_[0, stops[:-1] + 1], coded.indices.to_numpy()
+            n = (stops - starts)[at] if len(at) else np.zeros(0, np.int64)
+            total = np.cumsum(n)
+            if len(at):
+                parts.append(flat[np.repeat(starts[at] - total + n, n) + np.arange(total[-1])])
+            # ids up to the end of each text, from those of the words that lie before it
+            sizes.append(np.diff(np.r_[0, np.r_[0, total][np.searchsorted(upto, ends, "right")]]))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(parts)))
 
     return ids(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
@@ -152,9 +151,20 @@ def table(merges: list[tuple[int, int, int, int]], rules: Rules = CODEBOOK) -> d
 
 def decode(ids: Column, names: dict[int, bytes]) -> Column:
     """The bytes of ids as text; what is no UTF-8 becomes a replacement character, an unknown id nothing, a null list nothing."""
-
-    @F.pandas_udf("string")
-    def text(lists: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(names.get(i, b"") for i in ([] if x is None else x)).decode(errors="replace") for x in lists], dtype=object)
+    known = [names.get(i, b"") for i in range(max(names, default=-1) + 1)] + [b""]
+    sizes = np.array([len(x) for x in known], np.int64)
+    starts, joined = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), np.uint8)
+
+    def read(at: np.ndarray) -> str:
+        n = sizes[at]
+        return joined[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes().decode(errors="replace")
+
+    @F.arrow_udf("string")
+    def text(lists: pa.Array) -> pa.Array:
+        out = []
+        for x in lists:
+            at = x.values.fill_null(-1).to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)
+            out.append(read(np.where((at < 0) | (at >= len(known)), len(known) - 1, at).astype(np.int64)))
+        return pa.array(out, pa.string())
 
     return text(ids)
