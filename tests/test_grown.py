@@ -1,11 +1,16 @@
 """Queries that were too slow or too wide on large tables: what they must not do again, and results against plain versions."""
 
+import hashlib
+import random
 import uuid
 
 import pytest
 
+from hashloom.operators import bytemerges
 from hashloom.plans import catalog
 
+from .test_bytemerges import plain_train
+
 
 @pytest.fixture
 def jobs(spark):
@@ -25,6 +30,15 @@ def jobs(spark):
 def test_byte_encode_counts_pairs_seldom(spark, sf, jobs):
     """A job for each merge went over all texts."""
     rows, n = jobs(lambda: catalog.queries()["byte_encode"](spark, sf).collect())
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert n < 48 and {r.doc_id for r in rows} == set(texts)
-    assert all(len(r.ids) == r.n_ids < len(texts[r.doc_id].encode()) for r in rows)
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert n < 48 and {r.doc_id: r.decoded_md5 for r in rows} == {k: hashlib.md5(t).hexdigest() for k, t in texts.items()}
+    assert all(len(r.ids) == r.n_ids <= len(texts[r.doc_id]) for r in rows)
+
+
+def test_byte_merges_count_pairs_seldom(spark, jobs):
+    """Merges as plain ones, also where they are rarer than what texts are cut at first; far fewer jobs than two a merge."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["the ", "cat ", "éa", "x", "yz", "q"], [9, 5, 3, 1, 1, 1], k=rng.randint(1, 30))) for _ in range(50)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got, n = jobs(lambda: bytemerges.train(rows, "text", 40))
+    assert got == plain_train(texts, 40, bytemerges.CODEBOOK)[0] and len(got) == 40 and n < 80
