@@ -4,9 +4,10 @@ import hashlib
 import random
 import uuid
 
+import pyarrow as pa
 import pytest
 
-from hashloom.operators import bytemerges
+from hashloom.operators import bytemerges, chunks, codebook
 from hashloom.plans import catalog
 
 from .test_bytemerges import plain_train
@@ -42,3 +43,47 @@ def test_byte_merges_count_pairs_seldom(spark, jobs):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
     got, n = jobs(lambda: bytemerges.train(rows, "text", 40))
     assert got == plain_train(texts, 40, bytemerges.CODEBOOK)[0] and len(got) == 40 and n < 80
+
+
+def test_tiers_take_no_pairs_through_the_plan(spark):
+    """As a plain search, with an empty tier too; codewords come to the tasks once and not as a join of all pairs."""
+    rng = random.Random(6)
+    book = [[bytes(rng.choices(range(4), k=12)) for _ in range(n)] for n in (9, 0, 30)]
+    asked = [bytes(rng.choices(range(256), k=12)) for _ in range(40)] + book[0][:3] + book[2][:3]
+    frame = lambda data, name: spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], f"{name} long, data binary")
+    found = codebook.nearest_tiered(frame(asked, "k"), [frame(b, "id") for b in book], ["k"], 60)
+
+    def plain(q):
+        far = [min((sum((x ^ y).bit_count() for x, y in zip(q, d, strict=True)), i) for i, d in enumerate(b)) if b else None for b in book]
+        near = [(k, f[1], f[0]) for k, f in enumerate(far) if f and f[0] * 2 <= 60]
+        return near[0] if near else min((f[0], k, f[1]) for k, f in enumerate(far) if f)[1:] + (min(f[0] for f in far if f),)
+
+    assert {r.k: (r.tier, r.id, r.distance) for r in found.collect()} == {k: plain(q) for k, q in enumerate(asked)}
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+def plain_beside(rows, size):
+    cut = [(k, [t.encode()[i : i + size] for i in range(0, len(t.encode()), size)]) for k, t in rows if k is not None and t]
+    return sorted((k, i, a[i], b[i + 1]) for k, a in cut for j, b in cut if j == k for i in range(min(len(a), len(b) - 1)))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_chunks_beside(spark, repeated):
+    """What the join of chunks gives, without one where no key is repeated."""
+    rng = random.Random(7)
+    rows = [(i, "é" * (i % 3) + "".join(rng.choices("abc", k=i))) for i in range(40)] + [(None, "x" * 30), (99, ""), (98, None)]
+    rows += [(7, "y" * 33), (7, "z" * 9), (8, "w" * 50)] if repeated else []
+    got = chunks.beside(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t", 8)
+    assert sorted((r.id, r.chunk_no, bytes(r.data), bytes(r.pattern)) for r in got.collect()) == plain_beside(rows, 8)
+    assert ("Join" in got._jdf.queryExecution().toString()) == repeated
+
+
+def test_xored():
+    rng = random.Random(8)
+    for longest in (9, 3000):
+        a, b = ([None if rng.random() < 0.1 else rng.randbytes(rng.choice((0, 1, 8, 8, 9, longest if i == 3 else 5))) for i in range(60)] for _ in range(2))
+        want = [None if x is None or y is None else bytes(p ^ q for p, q in zip(x, y.ljust(len(x), b"\0"))) for x, y in zip(a, b, strict=True)]
+        assert codebook.xored_bytes(pa.array(a, pa.binary()), pa.array(b, pa.binary())).to_pylist() == want
+        assert codebook.xored_bytes(pa.array(a, pa.binary())[5:50], pa.array(b, pa.binary())[5:50]).to_pylist() == want[5:50]
+    big = [b"x" * 3_000_000] + [b"y"] * 500
+    assert codebook.xored_bytes(pa.array(big), pa.array(big)).to_pylist() == [bytes(len(x)) for x in big]
