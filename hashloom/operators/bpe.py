@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 #: Bytes that the rolling hash sees: its low bits depend on no more.
 WINDOW = 16
+#: Bytes of a text that are hashed at once, and chunks that a task sends on at once.
+PART, ROWS = 1 << 22, 10_000
 
 
 def byte_entropy(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,6 +41,7 @@ def entropy(data: Column) -> Column:
     return _entropy(data)
 
 
+@functools.cache
 def gear() -> np.ndarray:
     """256 mixed 64-bit constants, from a multiplicative rule."""
     x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -42,13 +50,22 @@ def gear() -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _parts(data: bytes, before: int, behind: int):
+    """(first place, place in the part, bytes) of a text's parts of PART bytes, with some bytes of what lies around."""
+    for at in range(0, len(data), PART):
+        first = max(0, at - before)
+        yield first, at - first, np.frombuffer(data, np.uint8, min(at + PART + behind, len(data)) - first, first)
+
+
 def cut_points(data: bytes, target: int) -> list[int]:
     """Ends of chunks: candidates are where the shifted sum of the last gears has its low bits clear; quarter to four times the target long."""
-    b = gear()[np.frombuffer(data, np.uint8)]
-    h = b.copy()
-    for k in range(1, min(WINDOW, int(target).bit_length())):
-        h[k:] += b[:-k] << np.uint64(k)
-    places = (np.flatnonzero((h & np.uint64(target - 1)) == 0) + 1).tolist()
+    places = []
+    for first, own, part in _parts(data, WINDOW, 0):
+        b = gear()[part]
+        h = b.copy()
+        for k in range(1, min(WINDOW, int(target).bit_length())):
+            h[k:] += b[:-k] << np.uint64(k)
+        places += (np.flatnonzero((h[own:] & np.uint64(target - 1)) == 0) + first + own + 1).tolist()
     ends, start, n = [], 0, len(data)
     for p in [*places, n]:
         while p - start > 4 * target:
@@ -73,11 +90,13 @@ def rabin_cuts(data: bytes, target: int) -> list[int]:
     n, least, most = len(data), target // 4, 2 * target
     if n <= least:
         return [n] if n else []
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    h = np.zeros(max(0, n - COVERED + 1), np.uint64)  # of the bytes from i on
-    for k in range(COVERED if len(h) else 0):
-        h = h * np.uint64(BASE) + b[k : k + len(h)]
-    places = np.flatnonzero(h % np.uint64(target) == 0) + COVERED - 1  # of the last byte
+    places = [np.zeros(0, np.int64)]
+    for first, _, part in _parts(data, 0, COVERED - 1):
+        h = np.zeros(max(0, len(part) - COVERED + 1), np.uint64)  # of the bytes from i on
+        for k in range(COVERED if len(h) else 0):
+            h = h * np.uint64(BASE) + part[k : k + len(h)]
+        places.append(np.flatnonzero(h % np.uint64(target) == 0) + first + COVERED - 1)  # of the last byte
+    places = np.concatenate(places)
     ends, start = [], 0
     while start < n:
         # the hash of a whole window is the same wherever the chunk began, once the window lies inside it
@@ -90,20 +109,29 @@ def rabin_cuts(data: bytes, target: int) -> list[int]:
 
 
 def content_chunks(docs: DataFrame, key: str, text: str, target: int, cuts=cut_points) -> DataFrame:
-    """(key, chunk_no, off, size, digest): chunks that an insertion moves but does not change, but for those around it."""
+    """(key, chunk_no, off, size, digest): chunks that an insertion moves but does not change, but for those around it.
+
+    A text is cut and its chunks are digested where it lies: no row carries it, and tasks send ROWS chunks on at once.
+    """
     if target & (target - 1):
         raise ValueError("target must be a power of two")
 
-    @F.pandas_udf("array<struct<off: long, size: long>>")
-    def spans(t: pd.Series) -> pd.Series:
-        out = []
-        for x in t.fillna(""):
-            ends = cuts(x.encode(), target)
-            out.append([{"off": a, "size": b - a} for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-        return pd.Series(out)
-
-    rows = docs.select(key, F.encode(F.col(text), "UTF-8").alias("_d"), F.posexplode(spans(text)).alias("chunk_no", "_s"))
-    return rows.select(key, F.col("chunk_no").cast("long").alias("chunk_no"), F.col("_s.off").alias("off"), F.col("_s.size").alias("size"), F.sha2(F.substring(F.col("_d"), (F.col("_s.off") + 1).cast("int"), F.col("_s.size").cast("int")), 256).alias("digest"))
+    def run(batches):
+        for b in batches:
+            held, n = [], 0
+            for at in range(b.num_rows):
+                data = b.column(1)[at].as_py()
+                ends = cuts(data, target)
+                held += [(at, k, a, z - a, hashlib.sha256(data[a:z]).hexdigest()) for k, (a, z) in enumerate(pairwise([0, *ends]))]
+                n += len(data)
+                if n >= PART or len(held) >= ROWS or at == b.num_rows - 1:
+                    for i in range(0, len(held), ROWS):
+                        rows, *more = zip(*held[i : i + ROWS], strict=True)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *map(pa.array, more)], names=["key", "chunk_no", "off", "size", "digest"])
+                    held, n = [], 0
+
+    raw = docs.select(F.col(key).alias("key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
+    return raw.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, chunk_no long, off long, size long, digest string").withColumnRenamed("key", key)
 
 
 def train(words: DataFrame, merges: int, every: int = 10) -> list[tuple[int, str, str, int]]:
