@@ -3,11 +3,12 @@
 import hashlib
 import random
 import uuid
+from itertools import pairwise
 
 import pyarrow as pa
 import pytest
 
-from hashloom.operators import bytemerges, chunks, codebook
+from hashloom.operators import bpe, bytemerges, chunks, codebook, search
 from hashloom.plans import catalog
 
 from .test_bytemerges import plain_train
@@ -87,3 +88,57 @@ def test_xored():
         assert codebook.xored_bytes(pa.array(a, pa.binary())[5:50], pa.array(b, pa.binary())[5:50]).to_pylist() == want[5:50]
     big = [b"x" * 3_000_000] + [b"y"] * 500
     assert codebook.xored_bytes(pa.array(big), pa.array(big)).to_pylist() == [bytes(len(x)) for x in big]
+
+
+def test_cuts_of_parts(monkeypatch):
+    """A text is hashed a part at a time; its cuts are those of the text hashed whole."""
+    rng = random.Random(9)
+    for n in (0, 1, 7, 8, 40, 999, 5000):
+        data = rng.randbytes(n)
+        whole = [bpe.cut_points(data, 64), bpe.rabin_cuts(data, 64)]
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "PART", 37)
+            assert [bpe.cut_points(data, 64), bpe.rabin_cuts(data, 64)] == whole
+
+
+def test_chunks_of_empty_texts(spark):
+    """An empty or null text, which has no chunk, ended the query; and no row of a chunk carries its text."""
+    rows = [(1, "é" * 3000), (None, "x" * 700), (3, ""), (4, None), (1, "ab" * 500)]
+    for cuts in (bpe.cut_points, bpe.rabin_cuts):
+        got = bpe.content_chunks(spark.createDataFrame(rows, "id long, t string"), "id", "t", 64, cuts)
+        want = [(k, i, a, z - a, hashlib.sha256(t.encode()[a:z]).hexdigest()) for k, t in rows for ends in [cuts((t or "").encode(), 64)] for i, (a, z) in enumerate(pairwise([0, *ends]))]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """As a plain search, with blocks of few queries, equal hashes and rows of one id; no join of all pairs."""
+    rng = random.Random(10)
+    rows = [(i, rng.getrandbits(6) - 20) for i in range(150)] + [(5, 3), (140, -4), (500, None)]
+    table = spark.createDataFrame(rows, "id long, hash long").repartition(4)
+    queries = table.filter("id % 7 = 0 OR id = 500").selectExpr("id AS query", "hash AS qhash")
+    want = {}
+    for q, h in rows:
+        if q % 7 == 0 and h is not None:
+            want[q] = min([want.get(q, (99, 0)), *((((h ^ g) & (1 << 64) - 1).bit_count(), i) for i, g in rows if i != q and g is not None)])
+    for size in (4, 1000):
+        with monkeypatch.context() as m:
+            m.setattr(search.in_blocks, "__defaults__", (size,))
+            got = search.nearest(queries, table)
+            assert {r["query"]: (r.distance, r.id) for r in got.collect()} == want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_softmax_moves_no_products(spark, sf, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search.in_blocks, "__defaults__", (2,))
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    table = spark.createDataFrame([*rows, (70, None)], "id long, v array<double>").repartition(4)
+    got = search.softmax(table.filter("id % 10 = 0").selectExpr("id AS query", "v AS a"), table.selectExpr("id", "v AS b"))
+    s = np.array([v for _, v in rows]) @ np.array([v for _, v in rows]).T
+    told = {r["query"]: (r.m, r.z, r.own) for r in got.collect()}
+    assert told.pop(70) == (None, None, None) and set(told) == {0, 10, 20, 30, 40, 50}
+    for q, (m, z, own) in told.items():
+        assert np.allclose((m, z, own), (s[q].max(), np.exp(s[q] - s[q].max()).sum(), s[q, q]))
