@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .pairs import GAP, column_of, learn, rows_of, spaced
+from .pairs import merged as paired
+
 #: Bytes that the rolling hash sees: its low bits depend on no more.
 WINDOW = 16
 #: Bytes of a text that are hashed at once, and chunks that a task sends on at once.
@@ -134,45 +137,51 @@ def content_chunks(docs: DataFrame, key: str, text: str, target: int, cuts=cut_p
     return raw.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, chunk_no long, off long, size long, digest string").withColumnRenamed("key", key)
 
 
+#: The number of the word end as a symbol, above all characters; symbols that merges make follow it.
+END = 0x110000
+
+
+def _numbered(merges: list[tuple[int, str, str, int]]) -> dict[str, int]:
+    """Numbers of the word end and of what merges make; a character's number is its code point."""
+    out = {"</w>": END}
+    for _, left, right, _ in merges:
+        out.setdefault(left + right, END + len(out))
+    return out
+
+
+def _split(values: np.ndarray, ends: np.ndarray, empty: bool) -> np.ndarray:
+    """Words' characters and word ends as numbers, with a GAP behind each word; without `empty`, an empty word has no word end."""
+    letters = np.frombuffer(values.tobytes().decode().encode("utf-32-le"), "<i4")
+    stops = np.r_[0, np.cumsum(values & 0xC0 != 0x80)][ends]
+    ended = np.ones(len(ends), bool) if empty else np.diff(np.r_[0, ends]) > 0
+    return spaced(np.insert(letters, stops[ended], END), stops + np.cumsum(ended))
+
+
 def train(words: DataFrame, merges: int, every: int = 10) -> list[tuple[int, str, str, int]]:
     """Word-level merges (rank, left, right, count) from all of (word, n), whatever their number; ties by pair.
 
-    The words stay in Spark, split as far as the merges are learnt; each round counts their pairs with partial sums and
-    brings one pair to the driver. The split words are kept anew every few rounds.
+    The words stay in Spark, split as far as the merges are learnt; a job counts their pairs, and the counts of the
+    commonest tell as many merges as are sure without another one. The split words are kept anew every few merges.
     """
 
-    def after(new: list[tuple[str, str]]):
-        @F.pandas_udf("array<string>")
-        def joined(parts: pd.Series) -> pd.Series:
-            out = []
-            for p in parts:
-                p = tuple(p)
-                for left, right in new:
-                    p = merged(p, left, right)
-                out.append(p)
-            return pd.Series(out)
-
-        return joined("parts") if new else F.col("parts")
-
-    split = F.udf(lambda w: [*w, "</w>"], "array<string>")  # by code point, as merged() reads words
-    kept = words.filter("word IS NOT NULL").select(split("word").alias("parts"), "n").persist()
-    out, new = [], []
-    try:
-        for rank in range(merges):
-            if len(new) == every:
-                older, kept, new = kept, kept.select(after(new).alias("parts"), "n").persist(), []
-                kept.count()
-                older.unpersist()
-            now = kept.select(after(new).alias("parts"), "n").filter(F.size("parts") > 1)
-            pairs = now.select("n", F.explode(F.arrays_zip(F.slice("parts", 1, F.size("parts") - 1).alias("l"), F.slice("parts", 2, F.size("parts") - 1).alias("r"))).alias("p"))
-            best = pairs.groupBy("p.l", "p.r").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l", "r").first()
-            if best is None:
-                break
-            out.append((rank, best["l"], best["r"], best["n"]))
-            new.append((best["l"], best["r"]))
-    finally:
-        kept.unpersist()
-    return out
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([column_of([_split(*x, True) for x in rows_of(b.column(0))]), b.column(1)], names=["ids", "n"])
+
+    numbers = _numbered([])
+    names = ["</w>"]
+
+    def make(left: str, right: str) -> tuple[str, bool]:
+        made = left + right
+        unknown = made not in numbers
+        if unknown:
+            numbers[made] = END + len(names)
+            names.append(made)
+        return made, unknown
+
+    split = words.filter("word IS NOT NULL").select("word", F.col("n").cast("long").alias("n")).mapInArrow(run, "ids binary, n long")
+    out, _ = learn(split, merges, lambda k: chr(k) if k < END else names[k - END], lambda x: ord(x) if len(x) == 1 else numbers[x], make, every=every)
+    return [(rank, *x) for rank, x in enumerate(out)]
 
 
 def merged(word: tuple, left: str, right: str) -> tuple:
@@ -195,18 +204,21 @@ def symbols(words: DataFrame, merges: list[tuple[int, str, str, int]]) -> list[s
 
 def encode(words: DataFrame, merges: list[tuple[int, str, str, int]], table: list[str]) -> DataFrame:
     """Adds ids to distinct words: all merges in the order they were learnt; symbols not in the table are the mask. A null word has none."""
-    place = {x: i for i, x in enumerate(table)}
-
-    @F.pandas_udf("array<int>")
-    def ids(word: pd.Series) -> pd.Series:
-        out = []
-        for w in word.fillna(""):
-            parts = tuple(w) + ("</w>",) if w else ()
-            for _, left, right, _ in merges:
-                if len(parts) > 1:
-                    parts = merged(parts, left, right)
-            out.append([place.get(x, 0) for x in parts])
-        return pd.Series(out)
+    place, numbers = {x: i for i, x in enumerate(table)}, _numbered(merges)
+    number = lambda x: ord(x) if len(x) == 1 else numbers.get(x, GAP - 1)
+    new = [(number(left), number(right), numbers[left + right]) for _, left, right, _ in merges]
+    made = np.array([place.get(x, 0) for x in numbers], np.int32)
+
+    @F.arrow_udf("array<int>")
+    def ids(word: pa.Array) -> pa.Array:
+        sizes, parts = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        for values, ends in rows_of(word):
+            flat = paired(_split(values, ends, False), new)
+            gaps = np.flatnonzero(flat == GAP)
+            sizes.append(np.diff(np.r_[-1, gaps]) - 1)
+            told, at = np.unique(flat[flat != GAP], return_inverse=True)
+            parts.append(np.array([place.get(chr(k), 0) if k < END else made[k - END] for k in told.tolist()], np.int32)[at])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(parts)))
 
     return words.withColumn("ids", ids("word"))
 
