@@ -8,10 +8,11 @@ from itertools import pairwise
 import pyarrow as pa
 import pytest
 
-from hashloom.operators import bpe, bytemerges, chunks, codebook, search
+from hashloom.operators import bpe, bytemerges, chunks, codebook, pairs, search
 from hashloom.plans import catalog
 
 from .test_bytemerges import plain_train
+from .test_whole import plain_merges
 
 
 @pytest.fixture
@@ -142,3 +143,20 @@ def test_softmax_moves_no_products(spark, sf, monkeypatch):
     assert told.pop(70) == (None, None, None) and set(told) == {0, 10, 20, 30, 40, 50}
     for q, (m, z, own) in told.items():
         assert np.allclose((m, z, own), (s[q].max(), np.exp(s[q] - s[q].max()).sum(), s[q, q]))
+
+
+@pytest.mark.parametrize("top", [pairs.TOP, 3, 1])
+def test_merges_of_words_count_pairs_seldom(spark, jobs, monkeypatch, top):
+    """As plain merges, also where few pairs come to the driver; a symbol that two pairs make is one."""
+    rng = random.Random(12)
+    words = [(w, rng.randint(1, 30)) for w in sorted({"".join(rng.choices("abcé😀", k=rng.randint(1, 9))) for _ in range(80)})] + [("</w>", 50), ("x</w>", 20), ("", 3)]
+    rows = spark.createDataFrame([*words, (None, 5)], "word string, n long").repartition(3)
+    monkeypatch.setattr(pairs, "TOP", top)
+    got, n = jobs(lambda: bpe.train(rows, 30))
+    assert got == plain_merges(words, 30) and (top < 9 or n < 60)
+    table = bpe.symbols(rows, got)
+    for r in bpe.encode(rows, got, table).collect():
+        parts = (*r.word, "</w>") if r.word else ()
+        for _, left, right, _ in got:
+            parts = bpe.merged(parts, left, right)
+        assert r.ids == [table.index(x) for x in parts]
