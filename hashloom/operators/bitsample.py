@@ -3,11 +3,12 @@
 Two hashes within the radius agree on a table's sampled bits, but for `flips` of them, with a chance that is known; the
 number of tables follows from it and from the recall asked for. Candidates meet by equality of keys and are verified,
 and each pair counts in the first table alone in which it meets, so that no pairs are gathered to be made distinct.
-Keys that more than `cell` rows share are split into a grid of cells: no pair is lost and none is found twice.
+Links between all rows are counted in blocks of distinct hashes: no pair is lost and none is found twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 from math import ceil, comb, log
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from hashloom.functions.bits import hamming
 from hashloom.sources.files import kept
 
+from .search import class_links
+
 WIDTH = 64
 #: Tables, and keys of all tables that a row probes, at most.
 TABLES, PROBES = 4096, 100_000
-#: Rows of one key on either side of a cell about.
+#: Distinct hashes of a block about.
 CELL = 16_384
 #: What moving a row once costs, in comparisons of pairs.
 MOVE = 100
@@ -98,41 +101,28 @@ def first_meeting(a: Column, b: Column, t: Column, index: Tables) -> Column:
     return ~F.exists(before, lambda m: F.bit_count(a.bitwiseXOR(b).bitwiseAND(m)) <= index.flips)
 
 
-def _grid(classes: DataFrame, index: Tables, cell: int) -> DataFrame:
-    """(t, key, across, down): keys with more than `cell` rows stored or asking, and in how many parts either side goes. Few rows."""
-    sizes = stored(classes.select("hash"), index).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
-    around = sizes.join(_small(classes, index).select("t", "patterns"), "t").select("t", F.explode("patterns").alias("_x"), "key", "n")
-    asking = around.groupBy("t", F.col("key").bitwiseXOR(F.col("_x")).alias("key")).agg(F.sum("n").alias("asking"))
-    big = sizes.join(asking, ["t", "key"]).filter((F.col("n") > cell) | (F.col("asking") > cell))
-    parts = lambda c: F.ceil(F.col(c) / cell).cast("int")
-    return big.select("t", "key", parts("n").alias("across"), parts("asking").alias("down"))
-
-
-def candidates(classes: DataFrame, index: Tables, cell: int = CELL) -> DataFrame:
-    """(hash, other, n, other_n) of distinct hashes (hash, n) within the radius that meet in a table, each pair once, hash < other."""
-    asking, known = probing(classes, index), stored(classes.withColumnsRenamed({"hash": "other", "n": "other_n"}).withColumn("hash", F.col("other")), index).drop("hash")
-    on = ["t", "key"]
-    if classes.count() > cell:
-        big = _grid(classes, index, cell)
-        one = lambda c: F.coalesce(F.col(c), F.lit(1))
-        part = lambda c, n: F.pmod(F.xxhash64(c), one(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), one(n) - 1))
-        asking = asking.join(big, on, "left").withColumn("row", part("hash", "down")).withColumn("column", every("across")).drop("across", "down")
-        known = known.join(big, on, "left").withColumn("column", part("other", "across")).withColumn("row", every("down")).drop("across", "down")
-        on = [*on, "row", "column"]
-    near = (F.col("hash") < F.col("other")) & (hamming(F.col("hash"), F.col("other")) <= index.radius)
-    return asking.join(known, on).filter(near).filter(first_meeting(F.col("hash"), F.col("other"), F.col("t"), index)).select("hash", "other", "n", "other_n")
+def meeting(index: Tables) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of differing bits that tells whether some table brings two such hashes together."""
+
+    def met(differ: np.ndarray) -> np.ndarray:
+        out, left = np.zeros(len(differ), bool), np.arange(len(differ))
+        for m in np.array(index.masks, np.int64).view(np.uint64):
+            hit = np.bitwise_count(differ[left] & m) <= index.flips
+            out[left[hit]] = True
+            left = left[~hit]
+        return out
+
+    return met
 
 
 def links(rows: DataFrame, index: Tables, cell: int = CELL) -> DataFrame:
     """(id, n_links) of rows (id, hash): how many others within the radius the index finds; equal hashes are one class and always found.
 
-    Counts are summed before the shuffle; no pairs are moved. A null hash has no links. No rows: no rows.
+    For all rows against all, comparing blocks of distinct hashes is cheaper than moving each row to each table; pairs
+    within the radius count if a table has them together. A null hash has no links. No rows: no rows.
     """
     classes = kept(rows.filter("hash IS NOT NULL").groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "classes")
-    both = F.inline(F.array(F.struct(F.col("hash").alias("h"), F.col("other_n").alias("m")), F.struct(F.col("other").alias("h"), F.col("n").alias("m"))))
-    met = candidates(classes, index, cell).select(both).groupBy(F.col("h").alias("hash")).agg(F.sum("m").alias("m"))
-    counted = classes.join(met, "hash", "left").select("hash", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    counted = class_links(classes, index.radius, max(cell, 16), meeting(index))
     return rows.join(counted, "hash", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

@@ -8,7 +8,7 @@ from itertools import pairwise
 import pyarrow as pa
 import pytest
 
-from hashloom.operators import bpe, bytemerges, chunks, codebook, pairs, search
+from hashloom.operators import bitsample, bpe, bytemerges, chunks, codebook, pairs, search
 from hashloom.plans import catalog
 
 from .test_bytemerges import plain_train
@@ -160,3 +160,15 @@ def test_merges_of_words_count_pairs_seldom(spark, jobs, monkeypatch, top):
         for _, left, right, _ in got:
             parts = bpe.merged(parts, left, right)
         assert r.ids == [table.index(x) for x in parts]
+
+
+def test_links_of_the_index_are_compared_in_blocks(spark):
+    """No row goes to each table; the links are those that the tables bring together."""
+    rng = random.Random(13)
+    hashes = [rng.getrandbits(63) for _ in range(40)]
+    hashes += [h ^ sum(1 << i for i in rng.sample(range(63), rng.randint(0, 22))) for h in hashes for _ in range(3)]
+    index = bitsample.tables(20, 9, 1, 0.5)
+    got = bitsample.links(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long"), index, 50)
+    near = lambda x: x.bit_count() <= 20 and any((x & m).bit_count() <= 1 for m in (m & (1 << 64) - 1 for m in index.masks))
+    assert {r.id: r.n_links for r in got.collect()} == {i: sum(i != j and near(a ^ b) for j, b in enumerate(hashes)) for i, a in enumerate(hashes)}
+    assert "mask" not in got._jdf.queryExecution().toString()
