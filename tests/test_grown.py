@@ -8,7 +8,7 @@ from itertools import pairwise
 import pyarrow as pa
 import pytest
 
-from hashloom.operators import bitsample, bpe, bytemerges, chunks, codebook, pairs, search
+from hashloom.operators import bitsample, bpe, bytemerges, chunks, codebook, edits, pairs, search
 from hashloom.plans import catalog
 
 from .test_bytemerges import plain_train
@@ -172,3 +172,23 @@ def test_links_of_the_index_are_compared_in_blocks(spark):
     near = lambda x: x.bit_count() <= 20 and any((x & m).bit_count() <= 1 for m in (m & (1 << 64) - 1 for m in index.masks))
     assert {r.id: r.n_links for r in got.collect()} == {i: sum(i != j and near(a ^ b) for j, b in enumerate(hashes)) for i, a in enumerate(hashes)}
     assert "mask" not in got._jdf.queryExecution().toString()
+
+
+def test_no_nested_loop_over_turns(spark, sf):
+    for name in ("qa_retrieval", "retrieve_or_generate"):
+        assert "NestedLoop" not in catalog.queries()[name](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_scripts_of_many_pairs():
+    """Those of the step by step versions, and applied again, for all rows together."""
+    import numpy as np
+
+    rng = random.Random(14)
+    for p, c in ((64, 64), (64, 5), (3, 64), (0, 4), (4, 0), (1, 1), (150, 60), (0, 0)):
+        patterns, made = ([bytes(rng.choices(b"abcd", k=n)) for _ in range(50)] for n in (p, c))
+        patterns[0] = patterns[0][:0] + bytes(p)
+        grid = [np.frombuffer(b"".join(x), np.uint8).reshape(50, n) for x, n in ((patterns, p), (made, c))]
+        got = edits.scripts(*grid)
+        assert got == [edits.script(x, y, t.tolist()) for x, y, t in zip(patterns, made, edits.tables(*grid), strict=True)]
+        assert edits.apply_all(patterns, got) == made
+    assert edits.apply_all([], []) == []
